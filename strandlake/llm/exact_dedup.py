@@ -84,23 +84,19 @@ def decisions(df: DataFrame, id_column: str = "doc_id", text: str = "text", pref
 
 
 def drop_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """The rows of ``df`` without exact copies, all columns as they were."""
-    columns = df.columns
-    rows, pairs = _levels(df, text, prefix)
+    """The rows of ``df`` without exact copies, all columns as they were (whatever their names)."""
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(text).alias("_text"))
+    rows, pairs = _levels(held, "_text", prefix)
     rows = _hashed(rows, pairs, False)
-    counts = (
-        rows.where("_shared").groupBy("_len", "_pre", "_full", _order(id_column).alias("_key")).agg(F.count("*").alias("_c"))
-    )
+    counts = rows.where("_shared").groupBy("_len", "_pre", "_full", _order("_id").alias("_key")).agg(F.count("*").alias("_c"))
     groups = cut(
         counts.groupBy("_len", "_pre", "_full")
         .agg(F.min(F.struct("_key", "_c")).alias("_first"), F.sum("_c").alias("_n"))
         .where("_n > 1")
     )
-    left = attach(rows, groups, ["_len", "_pre", "_full"]).where(
-        F.col("_first").isNull() | F.col(id_column).eqNullSafe(F.col("_first._key.id"))
-    )
+    left = attach(rows, groups, ["_len", "_pre", "_full"]).where(F.col("_first").isNull() | F.col("_id").eqNullSafe(F.col("_first._key.id")))
     if groups.where("_first._c > 1").isEmpty():
-        return left.select(columns)
+        return left.select("_row.*")
     again = F.coalesce(F.col("_first._c") > 1, F.lit(False))
-    once = left.where(~again).select(columns)
-    return once.unionByName(left.where(again).dropDuplicates(["_len", "_pre", "_full"]).select(columns))
+    once = left.where(~again).select("_row")
+    return once.unionByName(left.where(again).dropDuplicates(["_len", "_pre", "_full"]).select("_row")).select("_row.*")

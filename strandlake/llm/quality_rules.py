@@ -236,5 +236,6 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of ``docs`` that the base rule and the decision list accept."""
-    return judged(docs, rules).where("_kept").select(docs.columns)
+    """The rows of ``docs`` that the base rule and the decision list accept, all columns as they were."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return judged(held, rules).where("_kept").select("_row.*")

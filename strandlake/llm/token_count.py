@@ -7,7 +7,7 @@ path is stored. Ties go as in the tokenizers library: the earliest start wins,
 and a character without a piece of its own costs the least score less ten and
 counts as its UTF-8 bytes (byte fallback).
 
-Each space begins a word ("▁" before it, and before the text); words are
+Each space (or "▁") begins a word; "▁" stands before it and before the text. Words are
 counted apart and kept, bounded, in each worker.
 
 Defined results: null and empty texts have no tokens; any length is counted
@@ -82,7 +82,7 @@ class Counter:
     def text(self, text: str) -> int:
         if not text:
             return 0
-        words = text.split(" ")
+        words = text.replace("▁", " ").split(" ")  # the mark itself begins a word too
         if words[0] == "":
             del words[0]
         get, new = self._kept.get, self._new
