@@ -1,7 +1,7 @@
 """Near duplicates by SimHash fingerprints and covering locality-sensitive hashing.
 
 A fingerprint has bit j set when more than half of the text's word shingles have
-bit j set in their XXH64. Fingerprints link when at most ``radius`` bits differ.
+bit j set in their XXH64. Fingerprints link when at most two bits differ (the radius).
 
 Covering LSH: each bit position gets a vector of radius + 1 bits; for each of the
 2^(radius+1) - 1 non-zero vectors v, a table masks out all positions whose vector
@@ -14,7 +14,7 @@ Nodes of larger buckets are linked exactly without listing pairs: for radius 2,
 two fingerprints are within 2 bits if and only if a third one is within 1 bit of
 both, so each node names its 65 neighbours and itself, and nodes that name the
 same one are linked to the smallest (at most 65 share one, by construction).
-For other radii larger buckets are linked through the same idea, see ``_links``.
+``masks`` gives the tables of any radius; linking is for radius 2.
 
 Defined results: null and empty texts have fingerprint 0 and link like any
 other; a text of fewer words than a shingle is one shingle; words repeat as
