@@ -185,7 +185,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.trim(F.regexp_extract(body, "^([^\\n]*)", 1)).alias("name"), F.upper(F.regexp_replace(F.regexp_replace(body, "^[^\\n]*", ""), "\\s", "")).alias("seq"))
 
 
-def label(tag, kind, grp, symbol, prefix: str = "vnx4"):
+#: Prefix of strand names (fixed value of the format).
+PREFIX = "vnx4"
+
+
+def label(tag, kind, grp, symbol, prefix: str = PREFIX):
     """Name of a strand record: prefix|tag|kind|group|symbol, the tag as four hexadecimal digits."""
     return F.concat_ws("|", F.lit(prefix), F.lower(F.lpad(F.hex(tag), 4, "0")), kind.cast("string"), grp.cast("string"), symbol.cast("string"))
 

@@ -37,11 +37,12 @@ def test_fastx_write_and_invalid(spark, tmp_path):
 
 
 def test_fasta_by_text_source_and_labels(spark, tmp_path):
-    (tmp_path / "x.fa").write_text(">vnx4|7dfc|1|0|3\nAC\nGT\n>other\nTTTT\n")
+    name = f"{fastx.PREFIX}|7dfc|1|0|3"
+    (tmp_path / "x.fa").write_text(f">{name}\nAC\nGT\n>other\nTTTT\n")
     rows = fastx.parse_label(fastx.lines(spark, str(tmp_path / "x.fa"))).orderBy("seq").collect()
-    assert [(r["name"], r["seq"], r["tag"], r["symbol"]) for r in rows] == [("vnx4|7dfc|1|0|3", "ACGT", 0x7DFC, 3), ("other", "TTTT", None, None)]
+    assert [(r["name"], r["seq"], r["tag"], r["symbol"]) for r in rows] == [(name, "ACGT", 0x7DFC, 3), ("other", "TTTT", None, None)]
     made = spark.createDataFrame([(0x7DFC, 1, 0, 3)], "tag int, kind int, grp int, symbol int").select(fastx.label(F.col("tag"), F.col("kind"), F.col("grp"), F.col("symbol")).alias("l"))
-    assert made.first()["l"] == "vnx4|7dfc|1|0|3"
+    assert made.first()["l"] == name
 
 
 def test_packed_round_trip_pushdown_and_digest(spark, tmp_path):
