@@ -30,18 +30,18 @@ def codec_rates(spark) -> dict[str, float]:
     from strandlake.sources import register
 
     register(spark)
-    size = 4 << 20
-    blocks = spark.read.format("generated").option("kind", "mixed").option("blocks", size // 65_536).option("blockBytes", 65_536).option("blocksPerPartition", 4).load().selectExpr("block AS id", "data")
+    size = 1 << 20
+    blocks = spark.read.format("generated").option("kind", "mixed").option("blocks", size // 65_536).option("blockBytes", 65_536).option("blocksPerPartition", 2).load().selectExpr("block AS id", "data")
     out, started = {}, time.time()
     strands = codec.encode(blocks, "id", F.col("data")).cache()
     n = strands.count()
-    out["encode_4MiB_sec"] = time.time() - started
+    out["encode_1MiB_sec"] = time.time() - started
     reads = codec.read(strands, Channel(seed=1, coverage=5.0, substitution=0.01, insertion=0.002, deletion=0.002)).cache()
     reads.count()
     started = time.time()
     files = codec.manifest(blocks, "id", F.col("data"))
     good = codec.recover(codec.resolve(codec.scan(reads)), files).where("verified").count()
-    out["decode_indel_4MiB_sec"] = time.time() - started
+    out["decode_indel_1MiB_sec"] = time.time() - started
     out["strands"], out["verified_files"] = n, good
     return {k: round(v, 3) for k, v in out.items()}
 
@@ -60,6 +60,7 @@ def main() -> None:
         started = time.time()
         catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - started, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     codec = codec_rates(spark)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "codec": codec, "sf": os.path.basename(sf.rstrip("/"))}))
 
