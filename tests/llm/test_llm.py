@@ -414,3 +414,19 @@ def test_pipeline_over_the_smallest_tables(spark):
     for r in rows:
         used[r["sequence_id"]] += r["length"]
     assert rows and max(used.values()) <= 2048
+
+
+def held_to_similarity(df, rows):
+    sets = [set(near_copies.shingles(t).tolist()) for _, t in rows]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert {r["doc_id"] for r in near_copies.one_of_each(df, radius=None).collect()} == {rows[r][0] for r in root}
+    return len(set(root))
+
+
+def test_near_copies_far_apart_by_single_words(spark):
+    rng = random.Random(21)
+    rows = []
+    for _ in range(60):
+        base = words(rng, 200)
+        rows += [(len(rows), base), (len(rows) + 1, f"{base} {words(rng, 40)}")]
+    assert held_to_similarity(spark.createDataFrame(rows, "doc_id bigint, text string"), rows) == 60
