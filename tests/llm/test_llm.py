@@ -430,3 +430,23 @@ def test_near_copies_far_apart_by_single_words(spark):
         base = words(rng, 200)
         rows += [(len(rows), base), (len(rows) + 1, f"{base} {words(rng, 40)}")]
     assert held_to_similarity(spark.createDataFrame(rows, "doc_id bigint, text string"), rows) == 60
+
+
+def test_stars_and_chains_of_near_copies_stay_together(spark):
+    rng = random.Random(22)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for c in range(200):  # similar to the base, hardly to each other
+        copy = list(base)
+        for at in rng.sample(range(10, 390, 6), 7):
+            copy[at] = f"edit{c}x{at}"
+        texts.append(" ".join(copy))
+    link = [f"v{rng.getrandbits(40)}" for _ in range(900)]
+    for c in range(300):  # similar to the next ones only
+        link[(c * 7) % 900] = f"link{c}"
+        texts.append(" ".join(link))
+    passage = words(rng, 60)
+    texts += [f"{passage} {words(rng, 20)}" for _ in range(100)]  # share a passage, but are no copies
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert held_to_similarity(spark.createDataFrame(rows, "doc_id bigint, text string"), rows) == 102
