@@ -36,14 +36,35 @@ def candidates(sketches: DataFrame, read_id: str, shared: int = 2, cap: int = 25
     return left.join(right, ["slot", "hash"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= shared)
 
 
+def oriented_sketch(reads: DataFrame, read_id: str, seq: Column, k: int = 12, slots: int = 32) -> DataFrame:
+    """As an unstranded ``sketch``, with turned: 1 if the k-mer of the slot is the reverse complement of what the read holds."""
+    kmer = F.explode(F.transform(S.kmers(seq, k), lambda x: F.struct(S.hash60(S.canonical(x)).alias("hash"), (S.canonical(x) != x).cast("int").alias("turned"))))
+    rows = reads.select(read_id, kmer.alias("_k")).select(read_id, "_k.*")
+    return rows.groupBy(read_id, (F.col("hash") % slots).alias("slot")).agg(F.min(F.struct("hash", "turned")).alias("_m")).select(read_id, "slot", "_m.hash", "_m.turned")
+
+
+def oriented_candidates(sketches: DataFrame, read_id: str, shared: int = 2, cap: int = 256) -> DataFrame:
+    """a, b, n_shared, rel: ``candidates`` of an ``oriented_sketch``; rel is 1 if most shared slots have the reads turned to each other."""
+    pairs = candidates(sketches, read_id, shared, cap)
+    side = lambda n: sketches.select("slot", "hash", F.col(read_id).alias(n), F.col("turned").alias(f"_{n}"))
+    met = pairs.join(side("a"), "a").join(side("b"), ["b", "slot", "hash"])
+    return met.groupBy("a", "b", "n_shared").agg((2 * F.sum((F.col("_a") != F.col("_b")).cast("int")) > F.count("*")).cast("int").alias("rel"))
+
+
 def verified(pairs: DataFrame, reads: DataFrame, read_id: str, seq: str, share: float = 0.3) -> DataFrame:
-    """a, b, distance: pairs whose edit distance is at most ``share`` of the longer one; lengths are compared first."""
+    """a, b, distance: pairs whose edit distance is at most ``share`` of the longer one; lengths are compared first.
+
+    Pairs with a column rel compare a with the reverse complement of b where it is 1, and keep it.
+    """
+    rel = ["rel"] if "rel" in pairs.columns else []
     side = lambda n: reads.select(F.col(read_id).alias(n), F.col(seq).alias(f"_{n}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = pairs.select("a", "b", *rel).join(side("a"), "a").join(side("b"), "b")
+    if rel:
+        both = both.withColumn("_b", F.when(F.col("rel") == 1, S.reverse_complement(F.col("_b"))).otherwise(F.col("_b")))
     longest = F.greatest(F.length("_a"), F.length("_b"))
     most = F.floor(share * longest).cast("int")
     near = both.where(F.abs(F.length("_a") - F.length("_b")) <= most)
-    return near.withColumn("distance", F.levenshtein("_a", "_b")).where(F.col("distance") <= most).select("a", "b", "distance")
+    return near.withColumn("distance", F.levenshtein("_a", "_b")).where(F.col("distance") <= most).select("a", "b", *rel, "distance")
 
 
 def components(edges: DataFrame) -> DataFrame:

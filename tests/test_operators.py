@@ -149,3 +149,21 @@ def test_files_are_recovered_or_refused(spark):
     assert out == {1: (True, b"some bytes " * 20), 2: (True, b""), 3: (True, bytes(range(256)) * 12)}
     few = codec.recover(resolved.where("symbol < 2"), held).where("file = 1").first()
     assert not few["verified"] and few["data"] is None
+
+
+def test_reads_of_both_orientations_cluster(spark):
+    import random
+    rng = random.Random(8)
+    turn = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    rows = []
+    for _ in range(4):
+        strand = "".join(rng.choice("ACGT") for _ in range(150))
+        for c in range(4):
+            read = list(strand)
+            read[rng.randrange(150)] = "A"
+            rows.append((len(rows), turn("".join(read)) if c % 2 else "".join(read)))
+    reads = spark.createDataFrame(rows, "id bigint, seq string")
+    pairs = clustering.oriented_candidates(clustering.oriented_sketch(reads, "id", F.col("seq")), "id")
+    edges = clustering.verified(pairs, reads, "id", "seq")
+    found = {r["node"]: (r["root"], r["flipped"]) for r in clustering.oriented_components(edges).collect()}
+    assert found == {i: (i // 4 * 4, bool(i % 2)) for i in range(16)}
