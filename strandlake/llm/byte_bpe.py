@@ -4,9 +4,15 @@ The library's model works on strings in which each byte is one character (a
 fixed table of 256). A vocabulary given as tiktoken ranks becomes such a model:
 every way to join two tokens into a third is a merge with the third's rank.
 
-Texts are cut into the matches of the pattern, each match is encoded once a
-worker and kept (bounded); so is each run between single spaces, because the
-pattern always cuts before a space that stands between other characters.
+Texts are cut into the matches of the pattern and each match is encoded by
+itself. The pattern always cuts before a space that stands between other
+characters, so the texts of a slice of rows (bounded in bytes) are split at
+spaces at once, each distinct run is encoded once, and the ids are gathered
+back. A run of Latin letters is one match; other matches are kept (bounded).
+
+A tokenizer file's added tokens are found in texts as the library finds them
+(``special``, on by default); with False their strings are ordinary text. Rank
+files have none.
 
 ``offsets`` places each token in the text by characters: its bytes are counted
 and mapped to characters; a token that holds only a part of a character covers
@@ -14,7 +20,8 @@ the whole character. Decoding reverses the byte table and joins bytes before it
 decodes UTF-8, so characters split over tokens come back whole.
 
 Defined results: a null text is empty and has no tokens. Texts of any length are
-encoded whole.
+encoded whole. Repeated rows are encoded alike; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +30,18 @@ import base64
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Entries that a worker keeps of each kind; characters up to which a run is kept.
-KEPT, KEPT_CHARS = 400_000, 48
+#: Matches that a worker keeps; characters up to which one is kept; bytes of a slice of rows.
+KEPT, KEPT_CHARS, SLICE = 50_000, 24, 1 << 24
 #: A space after other white space, or a separator on which libraries differ: such texts are cut by the pattern itself.
-ODD = re.compile(r"\s |[\x1c-\x1f]")
+ODD = r"[\t-\r\x{85}\p{Z}] |[\x1c-\x1f]"
 
 
 @lru_cache(maxsize=1)
@@ -51,18 +60,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """One vocabulary: encode to ids, decode to bytes, offsets."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: bool = True):
         import regex
         from tokenizers import Tokenizer, models
 
         table = byte_characters()
         self._latin = {b: table[b] for b in range(256)}
+        self._space = table[32]
+        self._added: dict[str, bytes] = {}
         back = {c: b for b, c in enumerate(table)}
         if path.endswith(".json"):
             self.tokenizer = Tokenizer.from_file(path)
-            special = {t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
+            self.tokenizer.encode_special_tokens = not special
+            added = json.load(open(path, encoding="utf-8"))["added_tokens"]
+            names = {t["content"] for t in added}
+            if special:
+                if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+                    raise ValueError("added tokens that look at their surroundings are not supported")
+                self._added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
             vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.tokens = {i: bytes(back[c] for c in t) if t not in special else t.encode() for t, i in vocab.items()}
+            self.tokens = {i: bytes(back[c] for c in t) if t not in names else t.encode() for t, i in vocab.items()}
         else:
             ranks = read_ranks(path)
             name = {t: "".join(table[b] for b in t) for t in ranks}
@@ -74,37 +91,86 @@ class Codec:
             self.tokens = {r: t for t, r in ranks.items()}
         self.model = self.tokenizer.model
         self._find = regex.compile(pattern).findall
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split if self._added else None
+        self._words = r" ?\p{L}+" in pattern.split("|")
         self._pieces: dict[str, bytes] = {}
-        self._runs: dict[str, bytes] = {}
+
+    def _ids(self, mapped: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _mapped(self, piece: str) -> str:
+        return piece.encode("utf-8", "replace").decode("latin-1").translate(self._latin)
 
     def _piece(self, piece: str) -> bytes:
         out = self._pieces.get(piece)
         if out is None:
-            mapped = piece.encode("utf-8", "replace").decode("latin-1").translate(self._latin)
-            out = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            out = self._ids(self._mapped(piece))
             if len(piece) <= KEPT_CHARS:
                 if len(self._pieces) >= KEPT:
                     self._pieces.clear()
                 self._pieces[piece] = out
         return out
 
-    def _run(self, run: str) -> bytes:
-        """A run that a space begins."""
-        out = b"".join(map(self._piece, self._find(" " + run)))
-        if len(run) <= KEPT_CHARS:
-            if len(self._runs) >= KEPT:
-                self._runs.clear()
-            self._runs[run] = out
-        return out
+    def _matches(self, text: str) -> bytes:
+        return b"".join(map(self._piece, self._find(text)))
+
+    def _odd(self, text: str) -> bytes:
+        """A text that can't be cut at its spaces, or that holds added tokens."""
+        if self._split is None:
+            return self._matches(text)
+        return b"".join(self._added.get(x) or self._matches(x) for x in self._split(text) if x)
+
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end of each) of runs, each with a space before it."""
+        ids, ends, tokenize = array("I"), array("q"), self.model.tokenize
+        for run in runs:
+            if self._words and run.isalpha() and (run.isascii() or max(run) < "\u0250"):
+                ids.extend([t.id for t in tokenize(self._space + (run if run.isascii() else self._mapped(run)))])
+            else:
+                ids.frombytes(self._matches(" " + run))
+            ends.append(len(ids))
+        return np.frombuffer(ids, np.uint32), np.frombuffer(ends, np.int64)
+
+    def encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of all texts of an array without nulls."""
+        odd = pc.match_substring_regex(texts, ODD)
+        for t in self._added:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        odd = odd.to_numpy(zero_copy_only=False)
+        whole = {int(i): self._odd(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
+        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if whole else texts, " ")
+        runs = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py())
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()  # a text's first run has no space before it
+        firsts = [whole[i] if i in whole else self._matches(x) for i, x in enumerate(runs.take(pa.array(at[:-1])).to_pylist())]
+        coded = runs.dictionary_encode()
+        ids, ends = self._runs(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[at[:-1]] = len(ends) + np.arange(len(firsts))
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, firsts), np.int64, len(firsts)) // 4])
+        table = np.concatenate([ids, np.frombuffer(b"".join(firsts), np.uint32)])
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        stop = np.cumsum(n)
+        out = table[np.repeat(starts[which] - stop + n, n) + np.arange(stop[-1])]
+        return out, stop[at[1:] - 1]
+
+    def encode_all(self, texts: pa.Array):
+        """The ids of each text in turn; nulls are empty."""
+        texts = texts.fill_null("")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(texts):
+            base = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, base + SLICE, side="right")))
+            ids, ends = self.encode_slice(texts.slice(first, last - first))
+            start = 0
+            for end in ends.tolist():
+                yield ids[start:end]
+                start = end
+            first = last
 
     def encode(self, text: str) -> np.ndarray:
-        if ODD.search(text):
-            return np.frombuffer(b"".join(map(self._piece, self._find(text))), "<u4")
-        first, *runs = text.split(" ")
-        get, slow = self._runs.get, self._run
-        parts = [b"".join(map(self._piece, self._find(first)))] if first else []
-        parts += [x if (x := get(r)) is not None else slow(r) for r in runs]
-        return np.frombuffer(b"".join(parts), "<u4")
+        return next(self.encode_all(pa.array([text], pa.string())))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.asarray(ids).tolist()))
@@ -119,12 +185,8 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
-
-
-def texts_of(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def codec(path: str, pattern: str, special: bool = True) -> Codec:
+    return Codec(path, pattern, special)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
@@ -132,11 +194,10 @@ def encode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", te
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
-            texts = texts_of(b.column(1))
-            ids = [c.encode(t) for t in texts]
+            ids = list(c.encode_all(b.column(1)))
             cols = [b.column(0), pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32()))]
             if offsets:
-                at = [c.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
+                at = [c.offsets(t or "", x) for t, x in zip(b.column(1).to_pylist(), ids, strict=True)]
                 cols += [pa.array([[o[k] for o in x] for x in at], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -165,8 +226,8 @@ def digests(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", t
         decimal = [str(i) for i in range(max(c.tokens, default=-1) + 1)].__getitem__
         for b in batches:
             rows = []
-            for t in texts_of(b.column(1)):
-                ids = c.encode(t).tolist()
+            for found in c.encode_all(b.column(1)):
+                ids = found.tolist()
                 rows.append((len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(map(c.tokens.__getitem__, ids))).hexdigest()))
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])

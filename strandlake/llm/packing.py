@@ -23,6 +23,7 @@ empty table has no pieces. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import codec, texts_of
+from .byte_bpe import codec
 from ._shared import attach, cut
 
 CAPACITY = 2048
@@ -185,16 +186,20 @@ def pieces(df: DataFrame, path: str, pattern: str, capacity: int, id_column: str
         c, part = codec(path, pattern), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for b in batches:
-            rows = []
-            for key, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                ids = np.append(c.encode(t), np.uint32(CLOSING)).astype("<u4")
-                start, k = 0, 0
-                end = len(ids) % capacity or capacity
+            of, cols = array("q"), [array("q") for _ in range(5)]  # row of the id, then piece, start, length, crc, rank
+            for row, found in enumerate(c.encode_all(b.column(1))):
+                ids = np.append(found, np.uint32(CLOSING)).astype("<u4")
+                start, end, k = 0, len(ids) % capacity or capacity, 0
                 while start < len(ids):
-                    rows.append((key, k, start, end - start, zlib.crc32(ids[start:end].tobytes()), part, seen[end - start]))
-                    seen[end - start] += 1
+                    n = end - start
+                    of.append(row)
+                    for col, v in zip(cols, (k, start, n, zlib.crc32(ids[start:end]), seen[n]), strict=True):
+                        col.append(v)
+                    seen[n] += 1
                     start, end, k = end, end + capacity, k + 1
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([pa.field(id_column, b.schema.field(0).type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_part", pa.int32()), ("_rank", pa.int64())]))
+            piece, start, length, crc, rank = (pa.array(np.frombuffer(x, np.int64)) for x in cols)
+            place = pa.array(np.full(len(of), part, np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.frombuffer(of, np.int64))), piece.cast(pa.int32()), start, length, crc, place, rank], names=names)
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long")

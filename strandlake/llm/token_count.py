@@ -21,7 +21,6 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .byte_bpe import texts_of
 
 KEPT, KEPT_CHARS = 500_000, 48
 UNKNOWN_PENALTY = 10.0
@@ -99,7 +98,7 @@ def count(df: DataFrame, path: str, id_column: str = "doc_id", text: str = "text
     def run(batches):
         c = counter(path)
         for b in batches:
-            texts = texts_of(b.column(1))
+            texts = [x or "" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.text(t) for t in texts], pa.int64()), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64())], names=[id_column, "n_tokens", "n_bytes"])
 
     kind = df.schema[id_column].dataType.simpleString()
