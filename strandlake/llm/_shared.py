@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import strandlake
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it (Java and Python regex syntax).
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Most rows of a key table that may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Most rows and bytes of a table that may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
+#: Rows and bytes of a batch for Python workers.
+BATCH_ROWS, BATCH_BYTES = 4096, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,18 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and give the session a checkpoint folder.
+    """Let Python workers import this package, bound their batches and give the session a checkpoint folder.
 
-    The folder named in spark.checkpoint.dir is used; only a session without
-    one (as in tests) gets a temporary folder.
+    Batch sizes that were set for the session stay. The folder named in
+    spark.checkpoint.dir is used; only a local session without one (as in tests)
+    gets a temporary folder. On a cluster without one this fails, because a
+    machine's own folder is not seen by the others.
     """
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(strandlake.__file__)))
     path = sc.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+    for key, default, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandlake-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,8 +60,14 @@ def let(value: Column, use) -> Column:
 
 
 def small(keys: DataFrame) -> bool:
-    """Whether a key table (already cut) is small enough to broadcast."""
-    return keys.count() <= BROADCAST_ROWS
+    """Whether a key table (already cut; numbers and hashes of up to 16 bytes) is small enough to broadcast."""
+    return keys.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // (16 * len(keys.columns)))
+
+
+def fitted(side: DataFrame, size: Column) -> DataFrame:
+    """``side`` (already cut) marked for broadcast if it has few rows and its rows' bytes (``size``) are few in all."""
+    n, total = side.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(side) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else side
 
 
 def having(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ the sorted list of shorter ones, one symbol a string. The place of cX follows
 from the row of X: all shorter first symbols, then the rank of that row among
 rows with c before them. The list lives in three files (symbol before, common
 prefix with the row above, suffix), each read once and written once a round.
+The files are a task's own scratch, as Spark's spills are: no other process reads
+them, a lost task starts anew, and they go at the end. An empty collection, and
+empty strings, have empty suffixes only.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ def sorted_suffixes(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     number. Prefixes end at the strings' ends.
     """
     m = len(strings)
+    longest = max(map(len, strings), default=0)
+    prefix = np.uint8 if longest < 255 else np.uint16
+    place_type = np.int32 if sum(map(len, strings)) < 2**31 else np.int64
     sizes = np.array([len(s) for s in strings], np.int64)
     text = np.concatenate([*strings, np.zeros(0, np.uint16)]).astype(np.uint16)
     ends = np.cumsum(sizes)
@@ -35,10 +41,10 @@ def sorted_suffixes(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     left = np.arange(m)[sizes > 0]  # strings that still grow
     with tempfile.TemporaryDirectory() as folder:
         names = [[os.path.join(folder, f"{k}{i}") for k in "bls"] for i in (0, 1)]
-        for a, name in zip((before, np.zeros(m, np.uint16), ends.astype(np.int64)), names[0], strict=True):
+        for a, name in zip((before, np.zeros(m, prefix), ends.astype(place_type)), names[0], strict=True):
             a.tofile(name)
         for j in range(1, int(sizes.max(initial=0)) + 1):
-            b, lcp, suffix = (np.fromfile(f, t) for f, t in zip(names[0], (np.uint16, np.uint16, np.int64), strict=True))
+            b, lcp, suffix = (np.fromfile(f, t) for f, t in zip(names[0], (np.uint16, prefix, place_type), strict=True))
             old, n = len(b), len(left)
             order = np.argsort(b, kind="stable")
             first = int(np.searchsorted(b[order], 1)) if old else 0
@@ -77,7 +83,7 @@ def sorted_suffixes(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
             names.reverse()
             rows[left] = new_rows
             left = left[grows]
-        lcp, suffix = np.fromfile(names[0][1], np.uint16), np.fromfile(names[0][2], np.int64)
+        lcp, suffix = np.fromfile(names[0][1], prefix), np.fromfile(names[0][2], place_type).astype(np.int64)
     # an empty suffix has the start of the next string: rows below m are the empty ones, in order
     string = np.searchsorted(ends, suffix, side="right").astype(np.int32)
     string[:m] = owner
@@ -90,7 +96,7 @@ def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint16)
     cuts = np.empty(2 * len(a), np.int64)
     cuts[0::2], cuts[1::2] = a, b
-    padded = np.append(lcp, np.uint16(0))
+    padded = np.append(lcp, lcp.dtype.type(0)).astype(np.uint16)
     return (np.minimum(np.minimum.reduceat(padded, cuts)[0::2], MOST) + 1).astype(np.uint16)
 
 

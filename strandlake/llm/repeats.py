@@ -10,43 +10,55 @@ short strings between which no repeated window can hide:
 1. Each window of ``width`` bytes has an anchor: its 32-byte gram of least hash,
    the first such. Equal windows have equal anchors at equal places. Neighbouring
    windows with one anchor are one context (at most 2 * width - 32 bytes).
+   Contexts are found in one pass over the texts and written.
 2. Contexts are counted by (anchor, content hash). All windows of a context that
    occurs twice are repeated; no bytes need to be read again.
-3. Where an anchor has several contexts, their windows are dealt into classes of
-   ``STEP`` neighbouring starts. All windows of a class contain the same core of
-   width - STEP + 1 bytes; a core of one context alone has no repeats.
-4. Of the others the bytes around the core are fetched, one copy each. With the
-   core as one symbol they are strings of at most 2 * STEP - 1 symbols, and
-   column_bwt builds their transform and common prefixes through sequential
-   files; rows that share STEP symbols with a neighbour are repeated windows.
-   A core with more than ``CROWD`` strings would be too much for one task: its
-   windows are counted as rows instead.
+3. Where an anchor has several contexts, one copy of each is fetched and its
+   windows are dealt into classes of ``STEP`` neighbouring starts. All windows of a
+   class contain the same core of width - STEP + 1 bytes; a core of one context
+   alone has no repeats.
+4. With the core as one symbol the others are strings of at most 2 * STEP - 1
+   symbols, and column_bwt builds their transform and common prefixes through
+   sequential files; rows that share STEP symbols with a neighbour are repeated
+   windows. A task takes whole cores of up to ``crowd`` strings; the windows of a
+   core with more (all of it would meet in one task) are counted one by one.
 
 Anchors, contexts and cores are compared by 64-bit hashes, each within the group
 that the one before it gives; crowded windows by 128 bits.
 
+``n_shared`` tells of passages that are shorter in bytes: of each 51 words in a
+row the 26-word gram of least hash is chosen, and a document's chosen grams that
+another document chose too are counted. Documents that share 51 words (with the
+white space between them) share such a gram; those that share fewer than 26 don't.
+
 Defined results: null texts are empty; texts shorter than ``width`` lose
-nothing. Rows that repeat id and text are two texts, so all their windows repeat.
-Empty tables give empty results; extra columns are ignored.
+nothing. Rows that repeat id and text are two texts, so all their windows repeat,
+but one document to ``n_shared``. Empty tables give empty results; extra columns,
+whatever their names, are ignored. A document's contexts and spans meet in one
+task, as its text does; their number is bounded by its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, having
+from ._shared import cut, fitted, having
 from .column_bwt import repeated_windows
+from .components import written
 
 WIDTH, GRAM = 400, 32
+#: Words of a passage and of its grams.
+PASSAGE, WORDS = 51, 26
 #: Neighbouring windows that share a core.
-STEP = 46
-#: Bytes hashed at once; strings in one transform; strings of a core from which windows are counted as rows.
-BLOCK, COLLECTION, CROWD = 1 << 20, 4_000, 50_000
+STEP = 24
+#: Bytes or words hashed at once; strings in one transform; strings of a core up to which it goes to a transform.
+BLOCK, COLLECTION, CROWD = 1 << 20, 4_000, 2_000
 BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -61,31 +73,64 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def contexts(data: bytes, width: int = WIDTH) -> list[tuple[int, int, int, int]]:
-    """(anchor hash, place of the anchor, first window, last window) of the text's contexts."""
-    out: list[tuple[int, int, int, int]] = []
-    span = width - GRAM + 1  # grams in a window
+def _mixed(sums: np.ndarray, down: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``first`` up to ``last``."""
+    h = (sums[last] - sums[first]) * down[first]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _powers(len(x) + 1)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + 1) * up[:-1], out=sums[1:])
+    return sums, down
+
+
+def _least(grams: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least gram (the first such) of each ``span`` in a row."""
+    n = len(grams) - span + 1
+    padded = np.full(-(-len(grams) // span) * span, np.iinfo(np.uint64).max)
+    padded[: len(grams)] = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
+    table = padded.reshape(-1, span)
+    ahead = np.minimum.accumulate(table, axis=1).ravel()
+    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
+def contexts(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """Anchor hash, place of the anchor, first window and last window of the text's contexts."""
+    out = []
     for s in range(0, len(data) - width + 1, BLOCK):
         x = np.frombuffer(data, np.uint8, min(len(data) - s, BLOCK + width - 1), s)
-        up, down = _powers(len(x) + 1)
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum((x.astype(np.uint64) + 1) * up[:-1], out=sums[1:])
-        grams = (sums[GRAM:] - sums[:-GRAM]) * down[: len(x) - GRAM + 1]
-        grams ^= grams >> np.uint64(29)
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(32)
-        n = len(x) - width + 1
-        ranked = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
-        padded = np.full(-(-len(grams) // span) * span, np.iinfo(np.uint64).max)
-        padded[: len(grams)] = ranked
-        table = padded.reshape(-1, span)
-        ahead = np.minimum.accumulate(table, axis=1).ravel()
-        behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-        at = (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
+        sums, down = _sums(x)
+        starts = np.arange(len(x) - GRAM + 1)
+        grams = _mixed(sums, down, starts, starts + GRAM)
+        at = _least(grams, width - GRAM + 1)
         firsts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-        lasts = np.append(firsts[1:], n) - 1
-        out += [(h, s + a, s + lo, s + hi) for h, a, lo, hi in zip(grams[at[firsts]].view(np.int64).tolist(), at[firsts].tolist(), firsts.tolist(), lasts.tolist(), strict=True)]
-    return out
+        lasts = np.append(firsts[1:], len(at)) - 1
+        out.append((grams[at[firsts]].view(np.int64), s + at[firsts], s + firsts, s + lasts))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def passages(data: bytes, words: int = PASSAGE, gram: int = WORDS) -> np.ndarray:
+    """Hashes of the chosen grams of words, each once."""
+    x = np.frombuffer(data, np.uint8)
+    space = (x == 32) | ((x >= 9) & (x <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    starts, ends = edge[0::2], edge[1::2]
+    if len(starts) < words:
+        return np.zeros(0, np.int64)
+    found = []
+    for s in range(0, len(starts) - words + 1, BLOCK):
+        own = slice(s, min(len(starts), s + BLOCK + words - 1))
+        a, b = starts[own], ends[own]
+        sums, down = _sums(x[a[0] : b[-1]])
+        grams = _mixed(sums, down, a[: len(a) - gram + 1] - a[0], b[gram - 1 :] - a[0])
+        found.append(grams[np.unique(_least(grams, words - gram + 1))])
+    return np.unique(np.concatenate(found)).view(np.int64)
 
 
 def _doc(id_column: str, text: str) -> Column:
@@ -102,46 +147,59 @@ def classes(anchor: int, at: int, lo: int, hi: int, width: int, step: int = STEP
     return [(c, max(lo, at - step * c - step + 1), min(hi, at - step * c)) for c in range((at - hi) // step, (at - lo) // step + 1)]
 
 
-def _found(docs: DataFrame, width: int, cores: bool) -> DataFrame:
-    """anchor, ctx, doc, lo, hi of all contexts of ``docs`` (doc, text); with ``cores`` also parts (at, core)."""
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("at", pa.int32()), ("core", pa.int64())]))
+_CONTEXT = pa.struct([("anchor", pa.int64()), ("ctx", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _found(docs: DataFrame, width: int) -> DataFrame:
+    """doc, contexts, grams of every row of ``docs`` (doc, text)."""
+    def lists(values: pa.Array, sizes: list[int]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            cols: list[list] = [[] for _ in range(5 + cores)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            cols: list[list] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.int64)]
+            hashes, sizes, counts = array("Q"), [], []
+            for text in b.column(1).to_pylist():
                 data = text.encode("utf-8", "replace")
-                for anchor, at, lo, hi in contexts(data, width) if len(data) >= width else ():
-                    row = [anchor, _signed(xxh64_intdigest(data[lo : hi + width])), doc, lo, hi]
-                    if cores:
-                        salt = anchor & 0xFFFFFFFFFFFF
-                        row.append([{"first": f, "last": x, "at": at - STEP * c, "core": _signed(xxh64_intdigest(data[at - STEP * c : at - STEP * (c + 1) + 1 + width], salt + c))} for c, f, x in classes(anchor, at, lo, hi, width)])
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=["anchor", "ctx", "doc", "lo", "hi", "parts"][: 5 + cores])
-
-    more = ", parts array<struct<first:int,last:int,at:int,core:bigint>>" if cores else ""
-    return docs.select("doc", "text").mapInArrow(run, "anchor bigint, ctx bigint, doc binary, lo int, hi int" + more)
-
-
-def _fetched(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """core, doc, first, left, right (bytes beside the core) of wanted rows (core, doc, first, last, at)."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("core", "first", "last", "at")).alias("parts"))
+                found = contexts(data, width) if len(data) >= width else cols[0][:1] * 4
+                hashes.extend([xxh64_intdigest(data[lo:hi]) for lo, hi in zip(found[2].tolist(), (found[3] + width).tolist(), strict=True)])
+                grams = passages(data)
+                for c, v in zip(cols, (*found, grams), strict=True):
+                    c.append(v)
+                sizes.append(len(found[0]))
+                counts.append(len(grams))
+            anchor, at, lo, hi, grams = map(np.concatenate, cols)
+            parts = [pa.array(anchor), pa.array(np.frombuffer(hashes, np.int64)), *(pa.array(c.astype(np.int32)) for c in (at, lo, hi))]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(pa.StructArray.from_arrays(parts, fields=list(_CONTEXT)), sizes), lists(pa.array(grams), counts)], names=["doc", "contexts", "grams"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc binary, contexts array<struct<anchor:bigint,ctx:bigint,at:int,lo:int,hi:int>>, grams array<bigint>")
+
+
+def _strings(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """core, doc, first, left, right (bytes beside the core) of the classes of ``wanted`` contexts (doc, anchor, at, lo, hi)."""
+    lists = cut(wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("parts")))
     schema = pa.schema([("core", pa.int64()), ("doc", pa.binary()), ("first", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
         for b in batches:
-            rows = []
+            cols: list[list] = [[] for _ in schema]
             for doc, text, parts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode("utf-8", "replace")
                 for p in parts:
-                    rows.append({"core": p["core"], "doc": doc, "first": p["first"], "left": data[p["first"] : p["at"]], "right": data[p["at"] - STEP + 1 + width : p["last"] + width]})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    salt = p["anchor"] & 0xFFFFFFFFFFFF
+                    for c, first, last in classes(p["anchor"], p["at"], p["lo"], p["hi"], width):
+                        at = p["at"] - STEP * c
+                        end = at - STEP + 1 + width
+                        for col, v in zip(cols, (_signed(xxh64_intdigest(data[at:end], salt + c)), doc, first, data[first:at], data[end : last + width]), strict=True):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select("doc", "text").join(lists, "doc").select("doc", "text", "parts").mapInArrow(run, "core bigint, doc binary, first int, left binary, right binary")
+    near = docs.select("doc", "text").join(fitted(lists, F.size("parts") * 24 + 16), "doc").select("doc", "text", "parts")
+    return near.mapInArrow(run, "core bigint, doc binary, first int, left binary, right binary")
 
 
 def _by_transform(parts: DataFrame, width: int) -> DataFrame:
@@ -199,28 +257,31 @@ def _by_rows(parts: DataFrame, width: int) -> DataFrame:
     return having(rows, twice, ["window"]).select("doc", "start", (F.col("start") + width).alias("end"))
 
 
-def spans(docs: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
-    """doc, start, end (bytes) of what is repeated, unmerged; ``docs``: doc, text (not null)."""
-    found = _found(docs, width, False)
-    kinds = cut(found.groupBy("anchor", "ctx").agg(F.count("*").alias("n")))
+def spans(docs: DataFrame, found: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """doc, start, end (bytes) of what is repeated, unmerged; ``docs``: doc, text (not null); ``found``: as _found gives."""
+    rows = found.select("doc", F.explode("contexts").alias("c")).select("doc", "c.*")
+    kinds = cut(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("n")))
     twice = cut(kinds.where("n > 1").select("anchor", "ctx"))
-    whole = having(found, twice, ["anchor", "ctx"]).select("doc", F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
+    whole = having(rows, twice, ["anchor", "ctx"]).select("doc", F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
     shared = cut(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
-
-    parts = having(_found(docs, width, True), shared, ["anchor"]).select("ctx", "doc", F.explode("parts").alias("p"))
-    strings = cut(parts.groupBy("p.core", "ctx").agg(F.min(F.struct("doc", "p.first", "p.last", "p.at")).alias("one")))
+    one = having(rows, shared, ["anchor"]).groupBy("anchor", "ctx").agg(F.min(F.struct("doc", "at", "lo", "hi")).alias("one"))
+    strings = written(_strings(docs, one.select("one.*", "anchor"), width))
     cores = cut(strings.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", (F.col("k") > crowd).alias("crowded")))
-    wanted = having(strings, cores.select("core"), ["core"]).select("core", "one.doc", "one.first", "one.last", "one.at")
-    near = cut(_fetched(docs, wanted, width))
+    few = having(strings, cut(cores.where("NOT crowded").select("core")), ["core"])
+    out = whole.unionByName(_by_transform(few, width))
     crowded = cut(cores.where("crowded").select("core"))
-    if crowded.isEmpty():
-        return whole.unionByName(_by_transform(near, width))
-    few = near.join(crowded, "core", "left_anti")
-    return whole.unionByName(_by_transform(few, width)).unionByName(_by_rows(having(near, crowded, ["core"]), width))
+    return out if crowded.isEmpty() else out.unionByName(_by_rows(having(strings, crowded, ["core"]), width))
+
+
+def shared_grams(found: DataFrame) -> DataFrame:
+    """doc, n_shared of documents with grams that another document has too."""
+    rows = found.select("doc", "grams").groupBy("doc").agg(F.first("grams").alias("grams")).select("doc", F.explode("grams").alias("gram"))
+    twice = cut(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    return having(rows, twice, ["gram"]).groupBy("doc").agg(F.count("*").alias("n_shared"))
 
 
 def without_repeats(df: DataFrame, width: int = WIDTH, crowd: int = CROWD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
+    """id, n_bytes, n_removed, n_spans, kept (binary), n_shared of every row."""
     return _apply(df, width, crowd, id_column, text, "kept binary", lambda kept: kept, pa.binary())
 
 
@@ -241,9 +302,11 @@ def merged(found: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def _apply(df, width, crowd, id_column, text, last, of, last_type) -> DataFrame:
-    docs = df.select(F.col(id_column), _doc(id_column, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lists = spans(docs, width, crowd).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    names = [id_column, "n_bytes", "n_removed", "n_spans", last.split()[0]]
+    docs = df.select(F.col(f"`{id_column}`").alias("id"), _doc(id_column, text).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    found = written(_found(docs, width))
+    runs = spans(docs, found, width, crowd).distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    lists = cut(runs.join(shared_grams(found), "doc", "full"))
+    names = [id_column, "n_bytes", "n_removed", "n_spans", last.split()[0], "n_shared"]
 
     def run(batches):
         for b in batches:
@@ -255,7 +318,8 @@ def _apply(df, width, crowd, id_column, text, last, of, last_type) -> DataFrame:
                 kept = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
                 for r, v in zip(rows, (len(data), len(data) - len(kept), len(runs), of(kept)), strict=True):
                     r.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), last_type), strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), last_type), strict=True)), b.column(3)], names=names)
 
     kind = df.schema[id_column].dataType.simpleString()
-    return docs.join(lists, "doc", "left").select(id_column, "text", "found").mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, {last}")
+    whole = docs.join(fitted(lists, F.coalesce(F.size("found"), F.lit(0)) * 8 + 24), "doc", "left").select("id", "text", "found", F.coalesce("n_shared", F.lit(0)).alias("n"))
+    return whole.mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, {last}, n_shared long")
