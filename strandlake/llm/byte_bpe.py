@@ -144,14 +144,17 @@ class Codec:
         firsts = [whole[i] if i in whole else self._matches(x) for i, x in enumerate(runs.take(pa.array(at[:-1])).to_pylist())]
         coded = runs.dictionary_encode()
         ids, ends = self._runs(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy().astype(np.int64)
+        which = coded.indices.to_numpy().copy()
         which[at[:-1]] = len(ends) + np.arange(len(firsts))
         sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, firsts), np.int64, len(firsts)) // 4])
         table = np.concatenate([ids, np.frombuffer(b"".join(firsts), np.uint32)])
-        starts = np.cumsum(sizes) - sizes
         n = sizes[which]
         stop = np.cumsum(n)
-        out = table[np.repeat(starts[which] - stop + n, n) + np.arange(stop[-1])]
+        small = np.int32 if stop[-1] < 2**31 else np.int64
+        shift = ((np.cumsum(sizes) - sizes)[which] - stop + n).astype(small)
+        place = np.repeat(shift, n)
+        place += np.arange(len(place), dtype=small)
+        out = table[place]
         return out, stop[at[1:] - 1]
 
     def encode_all(self, texts: pa.Array):
