@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Most rows and bytes of a table that may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
+#: Bits of the sieve before a semi join (8 MB), a power of two.
+SIEVE_BITS = 1 << 26
 #: Rows and bytes of a batch for Python workers.
 BATCH_ROWS, BATCH_BYTES = 4096, "16m"
 
@@ -64,12 +66,6 @@ def small(keys: DataFrame) -> bool:
     return keys.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // (16 * len(keys.columns)))
 
 
-def fitted(side: DataFrame, size: Column) -> DataFrame:
-    """``side`` (already cut) marked for broadcast if it has few rows and its rows' bytes (``size``) are few in all."""
-    n, total = side.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
-    return F.broadcast(side) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else side
-
-
 def having(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys``: broadcast if ``keys`` is small, else
     a shuffle join that stands alone in its stage, so that AQE can split hot keys."""
@@ -78,6 +74,37 @@ def having(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys, on, "left_semi").hint("rebalance")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def marked(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` with ``_maybe``: false only for keys that are not in ``keys``, true for all that are and for few others while
+    ``keys`` has far fewer than ``SIEVE_BITS`` rows. What is broadcast never exceeds those bits, however many keys there are."""
+    place = F.pmod(F.xxhash64(*on), F.lit(SIEVE_BITS))
+    part, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    own = {n: free(df, n) for n in ("_part", "_bits")}
+    sieve = keys.select(part.alias(own["_part"]), at.alias("_at")).groupBy(own["_part"]).agg(F.bitmap_construct_agg("_at").alias(own["_bits"]))
+    byte = F.conv(F.hex(F.substring(own["_bits"], (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return df.withColumn(own["_part"], part).join(F.broadcast(sieve), own["_part"], "left").select(*names, F.coalesce(hit, F.lit(False)).alias("_maybe"))
+
+
+def sifted(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    return marked(df, keys, on).where("_maybe").drop("_maybe")
+
+
+def matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys`` (already cut), alike at every size: a bounded sieve before the shuffle, then a
+    semi join that stands alone in its stage, so that AQE can split hot keys."""
+    return sifted(df, keys, on).join(keys, on, "left_semi").hint("rebalance")
+
+
 def attach(df: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     """Left join of ``groups`` (one row a key): broadcast if small, else a shuffle join."""
     if small(groups):

@@ -12,8 +12,8 @@ empty strings, have empty suffixes only.
 
 from __future__ import annotations
 
-import os
 import tempfile
+from contextlib import ExitStack
 
 import numpy as np
 
@@ -39,12 +39,13 @@ def sorted_suffixes(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     before[sizes > 0] = text[ends[sizes > 0] - 1]
     rows = np.arange(m, dtype=np.int64)  # where the newest suffix of each string stands
     left = np.arange(m)[sizes > 0]  # strings that still grow
-    with tempfile.TemporaryDirectory() as folder:
-        names = [[os.path.join(folder, f"{k}{i}") for k in "bls"] for i in (0, 1)]
-        for a, name in zip((before, np.zeros(m, prefix), ends.astype(place_type)), names[0], strict=True):
-            a.tofile(name)
+    with ExitStack() as open_files:
+        # lists only grow, so that each round writes over the one before the last
+        files = [[open_files.enter_context(tempfile.TemporaryFile()) for _ in range(3)] for _ in range(2)]
+        for a, f in zip((before, np.zeros(m, prefix), ends.astype(place_type)), files[0], strict=True):
+            _write(f, a)
         for j in range(1, int(sizes.max(initial=0)) + 1):
-            b, lcp, suffix = (np.fromfile(f, t) for f, t in zip(names[0], (np.uint16, prefix, place_type), strict=True))
+            b, lcp, suffix = (_read(f, t) for f, t in zip(files[0], (np.uint16, prefix, place_type), strict=True))
             old, n = len(b), len(left)
             order = np.argsort(b, kind="stable")
             first = int(np.searchsorted(b[order], 1)) if old else 0
@@ -78,18 +79,29 @@ def sorted_suffixes(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
             known = touched < total
             known[known] = ~is_new[touched[known]]
             out[1][touched[known]] = np.where(below[known], next_value[known], 0)
-            for a, name in zip(out, names[1], strict=True):
-                a.tofile(name)
-            names.reverse()
+            for a, f in zip(out, files[1], strict=True):
+                _write(f, a)
+            files.reverse()
             rows[left] = new_rows
             left = left[grows]
-        lcp, suffix = np.fromfile(names[0][1], prefix), np.fromfile(names[0][2], place_type).astype(np.int64)
+        lcp, suffix = _read(files[0][1], prefix), _read(files[0][2], place_type).astype(np.int64)
     # an empty suffix has the start of the next string: rows below m are the empty ones, in order
     string = np.searchsorted(ends, suffix, side="right").astype(np.int32)
     string[:m] = owner
     return string, suffix - (ends - sizes)[string], lcp
 
 
+def _write(f, values: np.ndarray) -> None:
+    f.seek(0)
+    f.write(values.data)
+    f.flush()
+
+
+def _read(f, kind) -> np.ndarray:
+    f.seek(0)
+    return np.frombuffer(f.read(), kind)
+
+
 def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """1 + the least of lcp[a:b] for each pair (a < b), at most MOST."""
     if not len(a):

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, fitted, having
+from ._shared import cut, marked, matching, sifted
 from .column_bwt import repeated_windows
 from .components import written
 
@@ -198,12 +198,13 @@ def _strings(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
-    near = docs.select("doc", "text").join(fitted(lists, F.size("parts") * 24 + 16), "doc").select("doc", "text", "parts")
+    near = sifted(docs.select("doc", "text"), lists, ["doc"]).join(lists, "doc").select("doc", "text", "parts")
     return near.mapInArrow(run, "core bigint, doc binary, first int, left binary, right binary")
 
 
-def _by_transform(parts: DataFrame, width: int) -> DataFrame:
-    """doc, start, end of repeated windows among strings that lie together by core."""
+def _by_transform(parts: DataFrame, width: int, n: int) -> DataFrame:
+    """doc, start, end of repeated windows among about ``n`` strings that lie together by core; their number, not their
+    bytes, makes the work, so it sets the number of tasks."""
     def flush(rows):
         strings, last, group = [], None, 256
         for core, _, _, left, right in rows:
@@ -234,7 +235,8 @@ def _by_transform(parts: DataFrame, width: int) -> DataFrame:
         if rows:
             yield batch(list(flush(rows)))
 
-    near = parts.select("core", "doc", "first", "left", "right").repartition("core").sortWithinPartitions("core")
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // COLLECTION))
+    near = parts.select("core", "doc", "first", "left", "right").repartition(tasks, "core").sortWithinPartitions("core")
     return near.mapInArrow(run, "doc binary, start int, end int")
 
 
@@ -254,7 +256,7 @@ def _by_rows(parts: DataFrame, width: int) -> DataFrame:
 
     rows = parts.select("core", "doc", "first", "left", "right").mapInArrow(run, "window binary, doc binary, start int")
     twice = cut(rows.groupBy("window").count().where("count > 1").select("window"))
-    return having(rows, twice, ["window"]).select("doc", "start", (F.col("start") + width).alias("end"))
+    return matching(rows, twice, ["window"]).select("doc", "start", (F.col("start") + width).alias("end"))
 
 
 def spans(docs: DataFrame, found: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
@@ -262,22 +264,23 @@ def spans(docs: DataFrame, found: DataFrame, width: int = WIDTH, crowd: int = CR
     rows = found.select("doc", F.explode("contexts").alias("c")).select("doc", "c.*")
     kinds = cut(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("n")))
     twice = cut(kinds.where("n > 1").select("anchor", "ctx"))
-    whole = having(rows, twice, ["anchor", "ctx"]).select("doc", F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
+    whole = matching(rows, twice, ["anchor", "ctx"]).select("doc", F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
     shared = cut(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
-    one = having(rows, shared, ["anchor"]).groupBy("anchor", "ctx").agg(F.min(F.struct("doc", "at", "lo", "hi")).alias("one"))
+    one = matching(rows, shared, ["anchor"]).groupBy("anchor", "ctx").agg(F.min(F.struct("doc", "at", "lo", "hi")).alias("one"))
     strings = written(_strings(docs, one.select("one.*", "anchor"), width))
-    cores = cut(strings.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", (F.col("k") > crowd).alias("crowded")))
-    few = having(strings, cut(cores.where("NOT crowded").select("core")), ["core"])
-    out = whole.unionByName(_by_transform(few, width))
+    cores = cut(strings.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", "k", (F.col("k") > crowd).alias("crowded")))
+    n = cores.where("NOT crowded").agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    few = matching(strings, cut(cores.where("NOT crowded").select("core")), ["core"])
+    out = whole.unionByName(_by_transform(few, width, n))
     crowded = cut(cores.where("crowded").select("core"))
-    return out if crowded.isEmpty() else out.unionByName(_by_rows(having(strings, crowded, ["core"]), width))
+    return out if crowded.isEmpty() else out.unionByName(_by_rows(matching(strings, crowded, ["core"]), width))
 
 
 def shared_grams(found: DataFrame) -> DataFrame:
     """doc, n_shared of documents with grams that another document has too."""
     rows = found.select("doc", "grams").groupBy("doc").agg(F.first("grams").alias("grams")).select("doc", F.explode("grams").alias("gram"))
     twice = cut(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    return having(rows, twice, ["gram"]).groupBy("doc").agg(F.count("*").alias("n_shared"))
+    return matching(rows, twice, ["gram"]).groupBy("doc").agg(F.count("*").alias("n_shared"))
 
 
 def without_repeats(df: DataFrame, width: int = WIDTH, crowd: int = CROWD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,5 +324,8 @@ def _apply(df, width, crowd, id_column, text, last, of, last_type) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), last_type), strict=True)), b.column(3)], names=names)
 
     kind = df.schema[id_column].dataType.simpleString()
-    whole = docs.join(fitted(lists, F.coalesce(F.size("found"), F.lit(0)) * 8 + 24), "doc", "left").select("id", "text", "found", F.coalesce("n_shared", F.lit(0)).alias("n"))
+    asked = marked(docs, lists, ["doc"])  # texts without repeats are not shuffled
+    wide = asked.where("_maybe").join(lists, "doc", "left").select("id", "text", "found", F.coalesce("n_shared", F.lit(0)).alias("n"))
+    plain = asked.where("NOT _maybe").select("id", "text", F.lit(None).cast(wide.schema["found"].dataType).alias("found"), F.lit(0).cast("long").alias("n"))
+    whole = wide.unionByName(plain)
     return whole.mapInArrow(run, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, {last}, n_shared long")

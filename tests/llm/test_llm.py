@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import byte_bpe, exact_dedup, near_copies, packing, pii, quality_qda, quality_rules, queries, repeats, simhash, token_count, url_filter
+from strandlake.llm import _shared, byte_bpe, exact_dedup, near_copies, packing, pii, quality_qda, quality_rules, queries, repeats, simhash, token_count, url_filter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SF = "/root/testdata/sf0.001"
@@ -210,6 +210,17 @@ def test_repeats_against_brute_force(spark, docs, empty):
     assert repeats.digests(empty).count() == 0
 
 
+def test_sieve_loses_no_key(spark):
+    df = spark.range(5000).select((F.col("id") * 7919).alias("k"), F.lit("x").alias("_bits"))
+    keys = spark.range(0, 5000, 13).select((F.col("id") * 7919).alias("k"))
+    assert _shared.marked(df, keys, ["k"]).count() == 5000
+    want = {r["k"] for r in keys.collect()}
+    maybe = [r["k"] for r in _shared.sifted(df, keys, ["k"]).collect()]
+    assert want <= set(maybe) and len(maybe) <= len(want) + 5
+    assert {r["k"] for r in _shared.matching(df, keys, ["k"]).collect()} == want
+    assert _shared.matching(df, keys.limit(0), ["k"]).count() == 0
+
+
 def test_shared_passages_below_the_width(spark):
     rng = random.Random(15)
     short = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(51))
