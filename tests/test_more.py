@@ -31,6 +31,74 @@ def test_fountain(kind):
     some = {i: whole[i] for i in [*range(0, 40, 2), *range(40, 240)]}
     assert (code.decode(some, 40, 2) == data).all()
     assert code.decode({i: whole[i] for i in range(30)}, 40, 2) is None
+    for n in range(40, 240):
+        named = code.members(2, n, 40)
+        assert len(set(named.tolist())) == len(named) > 0 and (np.bitwise_xor.reduce(data[named], axis=0) == whole[n]).all()
+
+
+def test_fountain_degrees_follow_the_distribution():
+    share = fountain.degree_distribution(100)
+    assert len(share) == 100 and share[-1] == 1 and (np.diff(share) >= 0).all()
+    code = fountain.Fountain(9, "robust-soliton")
+    degrees = np.array([len(code.members(0, 100 + i, 100)) for i in range(3000)])
+    assert abs((degrees == 1).mean() - share[0]) < 0.02 and abs((degrees <= 2).mean() - share[1]) < 0.03
+    assert 45 < np.mean([len(fountain.Fountain(9).members(0, 100 + i, 100)) for i in range(500)]) < 55
+
+
+def test_row_checksums_and_scrambler():
+    import hashlib
+    import zlib
+
+    rows = np.random.default_rng(3).integers(0, 256, (40, 57)).astype(np.uint8)
+    assert frames.crc32(rows).tolist() == [zlib.crc32(r.tobytes()) for r in rows]
+    assert frames.crc32(np.frombuffer(b"123456789", np.uint8)[None]).tolist() == [0xCBF43926]
+    assert frames.crc32(np.zeros((0, 4), np.uint8)).shape == (0,)
+    for v in (0, 1, 255):
+        assert frames.scrambler(53)[v].tobytes() == hashlib.shake_128(frames.DOMAIN + bytes([v])).digest(53)
+
+
+def test_screen_of_seven_rules_against_brute_force():
+    rng = np.random.default_rng(8)
+    letters = "ACGT"
+
+    def fails(s, r):
+        n, bad = len(s), []
+        gc = sum(c in "GC" for c in s)
+        bad.append(not r.gc_min * n <= 100 * gc <= r.gc_max * n)
+        if r.window and n >= r.window[0]:
+            w, lo, hi = r.window
+            bad.append(any(not lo * w <= 100 * sum(c in "GC" for c in s[i : i + w]) <= hi * w for i in range(n - w + 1)))
+        if r.homopolymer is not None:
+            bad.append(any(c * (r.homopolymer + 1) in s for c in letters))
+        if r.tandem is not None:
+            for p in (2, 3):
+                t = r.tandem - p + 1
+                same = [s[i] == s[i + p] for i in range(n - p)]
+                bad.append(any(all(same[i : i + t]) for i in range(len(same) - t + 1)))
+        for m in r.motifs:
+            bad += [m in s, m.translate(str.maketrans("ACGT", "TGCA"))[::-1] in s]
+        if r.lengths:
+            bad.append(not r.lengths[0] <= n <= r.lengths[1])
+        return any(bad)
+
+    kinds = [
+        frames.Screen(), frames.Screen(0, 100, None), frames.Screen(0, 100, 3), frames.Screen(0, 100, None, (20, 30, 70)), frames.Screen(0, 100, None, tandem=5), frames.Screen(0, 100, None, tandem=7),
+        frames.Screen(0, 100, None, motifs=("GAAT", "CCT")), frames.Screen(0, 100, None, lengths=(30, 39)), frames.Screen(30, 70, 4, (20, 20, 80), 8, ("GAATTC",), True, (40, 40)),
+    ]
+    codes = rng.integers(0, 4, (200, 40)).astype(np.uint8)
+    for rules in kinds:
+        assert rules.passes(codes).tolist() == [not fails(frames.sequence(c), rules) for c in codes]
+    assert not frames.Screen(0, 100, None).passes(np.array([[0, 1, 4, 2]], np.uint8))[0]
+
+
+def test_tentative_header_of_an_uncorrected_frame():
+    layout, _, _ = frames.PROFILES["v4-balanced"]
+    payloads = np.random.default_rng(4).integers(0, 256, (9, 40)).astype(np.uint8)
+    strands, _ = frames.build(layout, frames.Screen(), 77, frames.SUPER, range(9), range(9), payloads)
+    f, _, _ = frames.strip(layout, strands)
+    f[:, -1] ^= 255
+    kind, tag, group, symbol = frames.tentative(layout, f)
+    assert set(kind) == {1} and set(tag) == {77} and group.tolist() == symbol.tolist() == list(range(9))
 
 
 def test_superblock_round_trip_and_refusal():
