@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,7 @@ def references(refs: DataFrame, table: DataFrame, file_id: str) -> DataFrame:
 
 def hmac_sha256(key: bytes, data: Column) -> Column:
     """HMAC-SHA-256 from two nested digests (hexadecimal)."""
-    key = key.ljust(64, b"\0")
-    if len(key) > 64:
-        raise ValueError("keys up to 64 bytes")
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner = F.unhex(F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in key)), data), 256))
     return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in key)), inner), 256)
 
@@ -111,9 +111,14 @@ def publishable(refs: DataFrame, verified: DataFrame, file_id: str) -> DataFrame
     return refs.join(verified, "idx", "left").groupBy(file_id).agg(F.bool_and(F.coalesce("verified", F.lit(False))).alias("ok")).where("ok").select(file_id)
 
 
-def validate_chunks(table: DataFrame) -> DataFrame:
-    """One row: chunks, gaps in the index, breaks in the running offsets."""
-    w = Window.partitionBy(F.floor(F.col("idx") / 1_000_000)).orderBy("idx")
-    last = F.lag(F.struct("idx", (F.col("offset") + F.col("stored")).alias("end"))).over(w)
-    rows = table.withColumn("_last", last)
-    return rows.agg(F.count("*").alias("n_chunks"), F.count_if(F.col("idx") != F.col("_last.idx") + 1).alias("n_gaps"), F.count_if(F.col("offset") != F.col("_last.end")).alias("n_breaks"))
+def validate_chunks(table: DataFrame, start: int = 0) -> DataFrame:
+    """One row: chunks, chunks whose predecessor in the index is missing, and chunks that do not begin where it ends.
+
+    Numbers begin at 0 and offsets at ``start``. Each chunk meets the one before it by an equi join on the number, so
+    the check needs no order over the whole table. Repeated numbers count as breaks once for each pair that does not fit.
+    """
+    before = table.select((F.col("idx") + 1).alias("idx"), (F.col("offset") + F.col("stored")).alias("_end"))
+    rows = table.select("idx", "offset").join(before, "idx", "left")
+    first = F.col("idx") == 0
+    gap, end = ~first & F.col("_end").isNull(), F.when(first, F.lit(start)).otherwise(F.col("_end"))
+    return rows.agg(F.count_distinct("idx").alias("n_chunks"), F.count_if(gap).alias("n_gaps"), F.count_if(~gap & (F.col("offset") != end)).alias("n_breaks"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import mcnemar, wilson
+from .common import cut, numbered
 
 
 def outcome(crash: Column, wrong: Column, status: Column, exit_code: Column, published: Column) -> Column:
@@ -73,15 +74,24 @@ def tally(events: DataFrame, ref: str, block: str, idx: str) -> DataFrame:
 
 
 def bootstrap_weights(refs: DataFrame, ref: str, replicates: int) -> DataFrame:
-    """ref, b, w: multiplicity of each reference in replicate b, from a hash (0 to 3, one on average): repeatable anywhere."""
-    rows = refs.select(ref, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(ref).cast("string"), F.col("b").cast("string")).cast("binary")), 1, 7), 16, 10).cast("bigint") % 100
-    return rows.withColumn("w", F.when(h < 37, 0).when(h < 74, 1).when(h < 92, 2).otherwise(3))
+    """ref, b, w: how often each of the n references is drawn in replicate b, n draws each (with replacement).
+
+    Draw i of replicate b takes the reference whose number is a hash of (b, i) modulo n: the same anywhere, and the
+    multiplicities of a replicate sum to n.
+    """
+    placed = cut(numbered(refs.select(ref).distinct(), [ref], "_number"))
+    n = placed.count()
+    if not n:
+        return refs.select(ref, F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("w"))
+    draws = placed.select(F.col("_number").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("_i").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    drawn = draws.select("b", (h % n).alias("_number")).groupBy("b", "_number").agg(F.count("*").alias("w"))
+    return drawn.join(placed, "_number").select(ref, "b", "w")
 
 
 def bootstrap_totals(tallies: DataFrame, weights: DataFrame, ref: str) -> DataFrame:
     """b, block, idx, total: weighted sums over references; replicates are joined by reference."""
-    return tallies.join(weights.where("w > 0"), ref).groupBy("b", "block", "idx").agg(F.sum(F.col("w") * F.col("cnt")).cast("bigint").alias("total"))
+    return tallies.join(weights, ref).groupBy("b", "block", "idx").agg(F.sum(F.col("w") * F.col("cnt")).cast("bigint").alias("total"))
 
 
 def interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -136,3 +146,88 @@ def alerts(metrics: DataFrame, rules: dict[str, str]) -> DataFrame:
     """name, labels, value, alert of samples for which a rule (name -> SQL predicate) holds."""
     named = F.array_compact(F.array(*[F.when(F.expr(p), F.lit(n)) for n, p in rules.items()]))
     return metrics.withColumn("alert", F.explode(named))
+
+
+def counters(rows: DataFrame, by: list[str], name: str, n: str) -> DataFrame:
+    """by, name, n: counters of workers and batches added up; Spark sums within tasks first."""
+    return rows.groupBy(*by, name).agg(F.sum(n).cast("bigint").alias("n"))
+
+
+def realised_rates(counts: DataFrame, rates: dict[str, tuple[str, str]]) -> DataFrame:
+    """``counts`` with each rate (name -> numerator, denominator; SQL over its columns), 0 where the denominator is 0."""
+    return counts.withColumns({k: F.when(F.expr(f"({b}) > 0"), F.expr(f"({a})").cast("double") / F.expr(f"({b})").cast("double")).otherwise(F.lit(0.0)) for k, (a, b) in rates.items()})
+
+
+def weighted_histogram(values: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """by, value, w: summed weights of each value."""
+    return values.groupBy(*by, value).agg(F.sum(weight).alias("w"))
+
+
+def at_most_failed(rows: DataFrame, group: list[str], order: list[str], q: str, most: int) -> DataFrame:
+    """group, p: the probability that at most ``most`` of a group's rows fail, each with its own probability ``q``.
+
+    The distribution of the number of failures grows by one row at a time and is cut at ``most``, so that a group
+    carries its probabilities and most + 1 numbers.
+    """
+    start = F.array(F.lit(1.0), *[F.lit(0.0)] * most)
+
+    def add(dist: Column, x: Column) -> Column:
+        return F.transform(dist, lambda p, i: p * (1 - x) + F.when(i > 0, F.get(dist, i - 1)).otherwise(F.lit(0.0)) * x)
+
+    qs = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(q).cast("double").alias("_q")))), lambda r: r["_q"])
+    return rows.groupBy(*group).agg(qs.alias("_qs")).select(*group, F.aggregate("_qs", start, add, lambda d: F.aggregate(d, F.lit(0.0), lambda a, x: a + x)).alias("p"))
+
+
+def load_gate(runs: DataFrame, by: list[str], load: str, most: float) -> DataFrame:
+    """by, ok, n_over: whether timings may be compared, that is every run's load is known and at most ``most``."""
+    fine = F.coalesce((F.col(load) <= most) & ~F.isnan(F.col(load).cast("double")), F.lit(False))
+    return runs.groupBy(*by).agg(F.bool_and(fine).alias("ok"), F.count_if(~fine).alias("n_over"))
+
+
+def validated(fitted: DataFrame, refit: DataFrame, path: list[str]) -> DataFrame:
+    """path, value, refit, inside: fitted parameters (value, low, high) beside a second fit's; inside if that lies in the interval."""
+    both = fitted.join(refit.select(*path, F.col("value").alias("refit")), path)
+    return both.select(*path, "value", "refit", F.col("refit").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+#: Stages at which a decode can end (fixed values).
+STAGES = ["read_parsing", "orientation", "clustering", "consensus", "alignment", "indel_placement", "address", "inner_ecc", "crc", "coverage", "outer_ecc", "superblock", "archive"]
+
+
+def terminal_stage(status: Column, code: Column, stage: Column, groups_failed: Column) -> Column:
+    """Where a decode ended, from its own report: null for success; ``code`` and ``stage`` are those of a typed error, else null."""
+    from_error = (
+        F.when((code == "NO_SUPERBLOCK") | (stage == "superblock"), "superblock").when((code == "CONTAINER_HASH_MISMATCH") | (stage == "integrity"), "archive")
+        .when(stage.isin("input", "format"), "read_parsing").otherwise(F.concat(F.lit("other:"), F.coalesce(stage, F.lit("None"))))
+    )
+    failed = F.when(F.coalesce(groups_failed, F.lit(0)) > 0, "outer_ecc").otherwise("archive")
+    return F.when(code.isNotNull() | stage.isNotNull(), from_error).when(F.coalesce(status, F.lit("")) == "SUCCESS", F.lit(None).cast("string")).otherwise(failed)
+
+
+def first_failing_stage(reads: DataFrame, band: int, parity: int) -> DataFrame:
+    """Adds fate: the first stage at which a read failed, in the order of the pipeline; ``accepted`` otherwise.
+
+    Columns: accepted, aligned, drift, erased_bytes, rs_ok, crc_ok.
+    """
+    aligned = F.col("aligned")
+    fate = (
+        F.when(F.col("accepted"), "accepted").when(~aligned & (F.col("drift") > band), "drift_beyond_band").when(~aligned, "path_beyond_band")
+        .when(F.col("erased_bytes") > parity, "erasures_exceed_parity").when(~F.col("rs_ok"), "inner_ecc").when(~F.col("crc_ok"), "crc").otherwise("address")
+    )
+    return reads.withColumn("fate", fate)
+
+
+def summaries(trials: DataFrame, parameter: str, value: str, success: str, measure: str) -> DataFrame:
+    """parameter, value, n, n_success, mean of each point, each parameter (null value) and all trials (both null)."""
+    return trials.rollup(parameter, value).agg(F.count("*").alias("n"), F.count_if(success).alias("n_success"), F.avg(measure).alias("mean"))
+
+
+def rolled_up(samples: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """name, labels, total, most of metric samples: one row a label set, and one a name (labels null)."""
+    return samples.rollup(name, *labels).agg(F.sum(value).alias("total"), F.max(value).alias("most")).where(F.col(name).isNotNull() & (F.col(labels[0]).isNull() == F.col(labels[-1]).isNull()))
+
+
+def provenance(decisions: DataFrame, run: str, order: list[str], stage: str, action: str) -> DataFrame:
+    """run, stage, n, first, last: decisions of each stage, with the first and last action in order."""
+    key = lambda f: f(F.struct(*order, action))[action]
+    return decisions.groupBy(run, stage).agg(F.count("*").alias("n"), key(F.min).alias("first"), key(F.max).alias("last"))

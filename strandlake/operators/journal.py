@@ -24,17 +24,41 @@ def gaps(journal: DataFrame, key: list[str], seq: str) -> DataFrame:
     return journal.withColumn("expected", F.coalesce(before + 1, F.lit(0))).where(F.col(seq) != F.col("expected")).select(*key, seq, "expected")
 
 
-def chain(log: DataFrame, key: list[str], seq: str, payload: str) -> DataFrame:
-    """Adds mac: the digest of the payload and of the payload before it in its chain."""
-    before = F.lag(F.md5(F.col(payload).cast("binary"))).over(Window.partitionBy(*key).orderBy(seq))
-    return log.withColumn("prev", F.coalesce(before, F.lit(""))).withColumn("mac", F.md5(F.concat_ws("|", "prev", payload).cast("binary")))
+def anchors(log: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """key, n, last: entries and the last MAC of each chain, to be kept apart from the log."""
+    return log.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct(seq, "mac"))["mac"].alias("last"))
 
 
-def broken_links(log: DataFrame, key: list[str], seq: str, payload: str) -> DataFrame:
-    """Entries (payload, prev, mac) whose stored digests do not fit; each link is checked for itself."""
-    before = F.lag(F.md5(F.col(payload).cast("binary"))).over(Window.partitionBy(*key).orderBy(seq))
-    bad = (F.col("prev") != F.coalesce(before, F.lit(""))) | (F.col("mac") != F.md5(F.concat_ws("|", "prev", payload).cast("binary")))
-    return log.withColumn("_bad", bad).where("_bad").select(*key, seq)
+def broken_links(log: DataFrame, key: list[str], seq: str, payload: str, secret: bytes) -> DataFrame:
+    """Entries whose MAC does not follow from the stored MAC before, their number and their payload.
+
+    Each link is checked for itself, so a chain of any length is checked in parallel; without the
+    secret no changed entry can be given a fitting MAC.
+    """
+    from .archive import hmac_sha256
+
+    before = F.coalesce(F.lag("mac").over(Window.partitionBy(*key).orderBy(seq)), F.lit(""))
+    text = F.concat(F.col("_before"), F.lit("|"), F.col(seq).cast("string"), F.lit("|"), F.coalesce(payload, F.lit("")))
+    fits = F.col("mac") == hmac_sha256(secret, F.encode(text, "UTF-8"))
+    return log.withColumn("_before", before).where(~F.coalesce(fits, F.lit(False))).select(*key, seq)
+
+
+def unanchored(log: DataFrame, kept: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """key, state of chains that are not what their anchors (kept apart) say: TRUNCATED, EXTENDED, REPLACED or LOST."""
+    both = kept.join(anchors(log, key, seq).select(*key, F.col("n").alias("_n"), F.col("last").alias("_last")), key, "full_outer")
+    state = (
+        F.when(F.col("_n").isNull(), "LOST").when(F.col("n").isNull() | (F.col("_n") > F.col("n")), "EXTENDED")
+        .when(F.col("_n") < F.col("n"), "TRUNCATED").when(F.col("last") != F.col("_last"), "REPLACED")
+    )
+    return both.select(*key, state.alias("state")).where("state IS NOT NULL")
+
+
+def records(entries: DataFrame, key: list[str], seq: str, body: str, checksum: str) -> DataFrame:
+    """Adds valid: whether the entry's CRC-32 is that of its bytes and its number follows the one before."""
+    before = F.lag(seq).over(Window.partitionBy(*key).orderBy(seq))
+    follows = F.col("_before").isNull() | (F.col(seq) == F.col("_before") + 1)
+    whole = F.coalesce(F.crc32(F.col(body).cast("binary")) == F.col(checksum), F.lit(False))
+    return entries.withColumn("_before", before).withColumn("valid", whole & follows).drop("_before")
 
 
 def torn_tail(entries: DataFrame, key: list[str], seq: str, valid: str) -> DataFrame:
@@ -63,9 +87,17 @@ def cached(extents: DataFrame, size: str, used: str, tie: str, most: int) -> Dat
     return rows.where(F.col("_later") <= most).withColumn("_sum", F.col("_later") + inside).where(F.col("_sum") <= most).drop("_m", "_later", "_sum")
 
 
-def increase(metrics: DataFrame, labels: list[str], ts: str, value: str, seconds: int) -> DataFrame:
-    """Adds increase and rate of a counter over the trailing window of event time."""
+def increase(metrics: DataFrame, labels: list[str], ts: str, value: str, seconds: int, tie: str) -> DataFrame:
+    """Adds increase and rate of a counter over the trailing window of event time.
+
+    The increase is the sum of the steps between neighbouring samples of the window; a step
+    down is a reset, after which the counter began at zero again.
+    """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*labels).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    grown = F.max(value).over(w) - F.min(value).over(w)
-    return metrics.withColumn("increase", grown).withColumn("rate", grown / seconds)
+    series = Window.partitionBy(*labels)
+    before = F.lag(value).over(series.orderBy(at, tie))
+    step = F.when(before.isNull(), 0).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
+    w = series.orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    entered = F.min(F.struct("_at", tie, "_step")).over(w)["_step"]  # leads into the window's first sample
+    grown = F.sum("_step").over(w) - entered
+    return metrics.withColumn("_at", at).withColumn("_step", step.cast("double")).withColumn("increase", grown).withColumn("rate", grown / seconds).drop("_at", "_step")

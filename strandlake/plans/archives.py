@@ -39,14 +39,14 @@ def build(files: DataFrame, size: int = 65_536, key: bytes | None = None, archiv
     if key is not None:
         packed = packed.withColumn("data", sealing.seal(F.col("data"), key, DOMAIN, F.col("idx"), archive_id))
     packed = cut(packed.withColumns({"stored": F.octet_length("data").cast("bigint"), "stored_sha256": F.sha2("data", 256)}))
-    chunks = cut(_with_offsets(packed))
+    chunks = cut(with_offsets(packed))
     entry = F.concat_ws("|", "idx", "offset", "stored", "plain", F.col("codec").cast("string"), "stored_sha256", "chunk_id")
     root = archive.merkle_root(archive.merkle_levels(chunks.select(F.col("idx").alias("pos"), archive.leaf(entry.cast("binary")).alias("hash")))).first()["root"]
     refs = archive.references(pieces, chunks, "file")
     return Archive(chunks, refs, files.select("file", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("sha256")), root)
 
 
-def _with_offsets(chunks: DataFrame, block: int = 100_000) -> DataFrame:
+def with_offsets(chunks: DataFrame, block: int = 100_000) -> DataFrame:
     """Running offsets by blocks of numbers: sums of blocks first, then within each block."""
     blocked = chunks.withColumn("_b", F.floor(F.col("idx") / block))
     sums = archive.offsets(blocked.groupBy("_b").agg(F.sum("stored").alias("_s")).withColumn("_k", F.lit(0)), ["_k"], ["_b"], "_s").select("_b", F.col("offset").alias("_before"))

@@ -16,7 +16,7 @@ from ..functions import sequences as S
 from ..functions.statistics import wilson
 from ..kernels import cauchy
 from ..kernels.gf256 import MUL
-from ..operators import archive, clustering, consensus, erasure, experiments, journal, planning, screening, security
+from ..operators import archive, clustering, consensus, erasure, experiments, journal, ordered, planning, screening, security
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,9 +47,26 @@ _RUN = "coalesce(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'),
 NT = 120
 _STRANDS = f"""s0 AS (SELECT doc_id, lang, regexp_extract_all({_SEQ}, '.{{1,{NT}}}') AS parts FROM documents),
 strands AS (SELECT doc_id, lang, unnest(parts) AS seq, generate_subscripts(parts, 1) - 1 AS pos FROM s0)"""
-_V = f"""(CASE WHEN 100 * ({_GC}) < 40 * length(seq) OR 100 * ({_GC}) > 60 * length(seq) THEN 1 ELSE 0 END)
- + (CASE WHEN regexp_matches(seq, 'A{{5}}|C{{5}}|G{{5}}|T{{5}}') THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(seq, 'GAATTC|GGATCC|AAGCTT') THEN 16 ELSE 0 END)"""
-RULES = screening.Rules(motifs=("GAATTC", "GGATCC", "AAGCTT"))
+_WIN = "length(w) - length(translate(w, 'GC', ''))"
+
+
+def _tandem_sql(period: int, most: int) -> str:
+    same = f"array_to_string(list_transform(range(1, greatest(length(seq) - {period}, 0) + 1), lambda i: CASE WHEN substr(seq, i, 1) = substr(seq, i + {period}, 1) THEN '1' ELSE '0' END), '')"
+    return f"contains({same}, '{'1' * (most - period + 1)}')"
+
+
+RULES = screening.Rules(window=(40, 25, 75), tandem=8, motifs=("GAATTC", "GGATCC", "AAGCTT"), length=(100, 120))
+#: Every 101st strand has a letter that is no base.
+_STRAND = "CASE WHEN pos % 101 = 100 THEN 'X' || substr(seq0, 2) ELSE seq0 END"
+_STRANDS = _STRANDS.replace("unnest(parts) AS seq,", "unnest(parts) AS seq0,").replace("strands AS (", "s1 AS (") + f""",
+strands AS (SELECT doc_id, lang, pos, {_STRAND} AS seq FROM s1)"""
+_BITS = [
+    f"100 * ({_GC}) < 40 * length(seq) OR 100 * ({_GC}) > 60 * length(seq)",
+    f"len(list_filter(list_transform(range(1, greatest(length(seq) - 39, 0) + 1), lambda i: substr(seq, i, 40)), lambda w: 100 * ({_WIN}) < 25 * 40 OR 100 * ({_WIN}) > 75 * 40)) > 0",
+    "regexp_matches(seq, 'A{5}|C{5}|G{5}|T{5}')", f"{_tandem_sql(2, 8)} OR {_tandem_sql(3, 8)}", "regexp_matches(seq, 'GAATTC|GGATCC|AAGCTT')",
+    "length(seq) NOT BETWEEN 100 AND 120", "NOT regexp_matches(seq, '^[ACGTN]*$')",
+]
+_V = " + ".join(f"(CASE WHEN {rule} THEN {1 << i} ELSE 0 END)" for i, rule in enumerate(_BITS))
 
 
 def _docs(spark, sf_dir):
@@ -65,7 +82,8 @@ def _encoded(spark, sf_dir):
 
 
 def _cut_strands(spark, sf_dir):
-    return screening.strands(_docs(spark, sf_dir), _bytes(), NT, ["doc_id", "lang"])
+    strands = screening.strands(_docs(spark, sf_dir), _bytes(), NT, ["doc_id", "lang"])
+    return strands.withColumn("seq", F.when(F.col("pos") % 101 == 100, F.concat(F.lit("X"), F.substring("seq", 2, 1 << 30))).otherwise(F.col("seq")))
 
 
 # --- sequences and screening -------------------------------------------------------------------------------------
@@ -84,10 +102,12 @@ def dna_encode(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("seq").cast("long").alias("n_bases"))
 
 
-@query("SELECT doc_id, md5(coalesce(text, '')) AS text_md5, true AS same FROM documents")
+@query("SELECT doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(text, '') = '' OR doc_id % 7 <> 0 AS same FROM documents")
 def dna_decode(spark, sf_dir):
-    data = S.to_bytes(S.from_bytes(_bytes()))
-    return _docs(spark, sf_dir).select("doc_id", F.md5(data).alias("text_md5"), (data == _bytes()).alias("same"))
+    """Texts as bases and back; in every seventh the first base was exchanged meanwhile."""
+    seq = S.from_bytes(_bytes())
+    spoilt = F.when(F.col("doc_id") % 7 == 0, F.concat(F.translate(F.substring(seq, 1, 1), "ACGT", "CGTA"), F.substring(seq, 2, 1 << 30))).otherwise(seq)
+    return _docs(spark, sf_dir).select("doc_id", F.md5(S.to_bytes(seq)).alias("text_md5"), (S.to_bytes(spoilt) == _bytes()).alias("same"))
 
 
 @query(f"SELECT doc_id, md5(reverse(translate({_SEQ}, 'ACGTN', 'TGCAN'))) AS rc_md5 FROM documents")
@@ -105,15 +125,14 @@ def homopolymer_runs(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", S.longest_run(F.col("seq")).cast("long").alias("longest_run"))
 
 
-@query(f"WITH {_STRANDS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST({_V} AS BIGINT) AS violations FROM strands WHERE ({_V}) > 0")
+@query(f"WITH {_STRANDS}, v AS (SELECT doc_id, pos, {_V} AS v FROM strands) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(v AS BIGINT) AS violations FROM v WHERE v > 0")
 def constraint_screen(spark, sf_dir):
     out = screening.screen(_cut_strands(spark, sf_dir), RULES).where("violations > 0")
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("violations").cast("long").alias("violations"))
 
 
-@query(f"""WITH {_STRANDS}, v AS (SELECT lang, {_V} AS v FROM strands)
-SELECT lang, count(*) AS n_strands, count(*) FILTER (v = 0) AS n_satisfied, CAST(sum(v & 1) AS BIGINT) AS n_gc_content, CAST(0 AS BIGINT) AS n_gc_window, CAST(sum((v >> 2) & 1) AS BIGINT) AS n_homopolymer,
-CAST(0 AS BIGINT) AS n_tandem_repeat, CAST(sum((v >> 4) & 1) AS BIGINT) AS n_motif, CAST(0 AS BIGINT) AS n_length, CAST(0 AS BIGINT) AS n_invalid_base FROM v GROUP BY lang""")
+@query(f"""WITH {_STRANDS}, v AS (SELECT lang, {_V} AS v FROM strands) SELECT lang, count(*) AS n_strands, count(*) FILTER (v = 0) AS n_satisfied,
+{', '.join(f"CAST(sum((v >> {i}) & 1) AS BIGINT) AS n_{n}" for i, n in enumerate(screening.ORDER))} FROM v GROUP BY lang""")
 def violation_summary(spark, sf_dir):
     return screening.summary(screening.screen(_cut_strands(spark, sf_dir), RULES), ["lang"])
 
@@ -189,18 +208,20 @@ def merkle_root(spark, sf_dir):
     return archive.merkle_root(archive.merkle_levels(leaves.select("pos", "hash")))
 
 
-@query("SELECT doc_id, true AS verified FROM documents")
+@query("SELECT doc_id, doc_id % 13 <> 0 AS verified FROM documents")
 def merkle_proof(spark, sf_dir):
-    """Every document's inclusion proof, folded to a root and compared with the tree's."""
+    """Every document's inclusion proof, folded to a root and compared with the tree's; every 13th text was changed after the tree was built."""
     from ..operators.common import numbered
 
-    leaves = numbered(_docs(spark, sf_dir).select("doc_id", archive.leaf(_bytes()).alias("hash")), ["doc_id"], "pos")
+    changed = F.when(F.col("doc_id") % 13 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.coalesce("text", F.lit("")))
+    docs = _docs(spark, sf_dir).select("doc_id", archive.leaf(_bytes()).alias("hash"), archive.leaf(F.encode(changed, "UTF-8")).alias("now"))
+    leaves = numbered(docs, ["doc_id"], "pos")
     levels = archive.merkle_levels(leaves.select("pos", "hash"))
     proofs = archive.merkle_proofs(levels, leaves)
     root = archive.merkle_root(levels).select("root")
     none = F.array().cast("array<struct<level:int,left:boolean,hash:string>>")
-    joined = leaves.join(proofs, "pos", "left").join(F.broadcast(root))
-    return joined.select("doc_id", (archive.proof_root(F.col("hash"), F.coalesce("proof", none)) == F.col("root")).alias("verified"))
+    joined = leaves.join(proofs, "pos", "left").join(F.broadcast(root))  # one row
+    return joined.select("doc_id", (archive.proof_root(F.col("now"), F.coalesce("proof", none)) == F.col("root")).alias("verified"))
 
 
 @query("""WITH p AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM conversations)
@@ -313,16 +334,23 @@ def capped_reads(spark, sf_dir):
 
 # --- clustering ----------------------------------------------------------------------------------------------------
 
-_SKETCH = """k AS (SELECT DISTINCT conv_id * 1000 + turn AS id, substr(text, CAST(i AS BIGINT), 12) AS k FROM conversations, unnest(range(1, greatest(length(text) - 10, 1))) AS t(i)),
+#: Every turn and an edited copy of it: the copy lacks letter 7, has an X at letter 20 and a Z at its end.
+_TURNS = """turns0 AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS text FROM conversations),
+turns AS (SELECT id, text FROM turns0 UNION ALL SELECT 1000000000 + id, substr(text, 1, 6) || substr(text, 8, 12) || 'X' || substr(text, 21) || 'Z' FROM turns0)"""
+_SKETCH = _TURNS + """, k AS (SELECT DISTINCT id, substr(text, CAST(i AS BIGINT), 12) AS k FROM turns, unnest(range(1, greatest(length(text) - 10, 1))) AS t(i)),
 h AS (SELECT id, CAST(('0x' || substr(md5(k), 1, 15)) AS BIGINT) AS hash FROM k), s AS (SELECT id, hash % 32 AS slot, min(hash) AS hash FROM h GROUP BY ALL)"""
 _PAIRS = f"""{_SKETCH}, g AS (SELECT slot, hash FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND 256),
 c AS (SELECT x.id AS a, y.id AS b, count(*) AS n_shared FROM s x JOIN s y USING (slot, hash) WHERE (slot, hash) IN (SELECT (slot, hash) FROM g) AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2)"""
-_EDGES = f"""{_PAIRS}, v AS (SELECT a, b, levenshtein(x.text, y.text) AS distance, greatest(length(x.text), length(y.text)) AS m FROM c JOIN conversations x ON x.conv_id * 1000 + x.turn = a JOIN conversations y ON y.conv_id * 1000 + y.turn = b),
+_EDGES = f"""{_PAIRS}, v AS (SELECT a, b, levenshtein(x.text, y.text) AS distance, greatest(length(x.text), length(y.text)) AS m FROM c JOIN turns x ON x.id = a JOIN turns y ON y.id = b),
 e AS (SELECT a, b, distance FROM v WHERE distance <= floor(0.3 * m))"""
 
 
 def _turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "?")  # the SQL engine's distance counts bytes
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), plain.alias("text"))
+    part = lambda a, n: F.substring("text", a, n)
+    edited = F.concat(part(1, 6), part(8, 12), F.lit("X"), part(21, 1 << 30), F.lit("Z"))
+    return turns.unionByName(turns.select((F.col("id") + 1_000_000_000).alias("id"), edited.alias("text")))
 
 
 def _sketch(spark, sf_dir):
@@ -345,7 +373,7 @@ def edit_verify(spark, sf_dir):
     return out.select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES.replace('k AS (', 'k AS MATERIALIZED (', 1)}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, b AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a)
+@query(f"""WITH RECURSIVE {_EDGES.replace(', k AS (', ', k AS MATERIALIZED (', 1)}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, b AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a)
 SELECT node, least(node, min(other)) AS root FROM r GROUP BY node""")
 def components(spark, sf_dir):
     return clustering.components(edit_verify(spark, sf_dir).select("a", "b"))
@@ -419,7 +447,7 @@ def rate_detector(spark, sf_dir):
 
 @query(f"SELECT event_id, user_id, n_distinct FROM (SELECT *, count(DISTINCT props) OVER ({_range(3)}) AS n_distinct FROM events) WHERE n_distinct > 10")
 def enumeration_detector(spark, sf_dir):
-    return security.enumerations(_events(spark, sf_dir), ["user_id"], "ts", "props", 3 * DAY, 10).select("event_id", "user_id", "n_distinct")
+    return security.enumerations(_events(spark, sf_dir), ["user_id"], "ts", "props", 3 * DAY, 10)
 
 
 @query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, count(*) OVER ({_range(3)}) AS n FROM events WHERE event_type = 'error') WHERE n >= 5),
@@ -460,18 +488,27 @@ def replay_guard(spark, sf_dir):
     return journal.replays(_events(spark, sf_dir), ["user_id", "props"], "ts", "86400 seconds").select("event_id", "replay")
 
 
-_POLICY = [(0, "deny", "*", "/en/1*", "error", "HIGH"), (1, "allow", "buyer", "/*", "purchase", "CRITICAL"), (2, "allow", "*", "/*", "view", "MEDIUM"), (3, "allow", "*", "/*", "click", "LOW"), (4, "allow", "staff", "*", "error", "CRITICAL")]
+_ANY = ["VERIFIED", "MODIFIED", "UNKNOWN", "FAILED"]
+_POLICY = [
+    (0, "deny", "*", "/en/1*", "write", ["VERIFIED"], "HIGH"), (1, "allow", "buyer", "/*", "extract", ["VERIFIED", "UNKNOWN"], "CRITICAL"), (2, "allow", "*", "/*", "list", _ANY, "MEDIUM"),
+    (3, "allow", "*", "/*", "read", ["VERIFIED"], "LOW"), (4, "allow", "staff", "*", "write", ["VERIFIED", "MODIFIED"], "CRITICAL"), (5, "allow", "staff", "/en/?", "recover", _ANY, "CRITICAL"), (6, "allow", "*", "/*", "extract", ["VERIFIED"], "LOW"),
+]
+_OPERATION = "CASE event_type WHEN 'view' THEN 'list' WHEN 'click' THEN 'read' WHEN 'purchase' THEN 'extract' WHEN 'error' THEN 'write' ELSE 'recover' END"
+_STATE = "CASE event_id % 8 WHEN 0 THEN 'DEGRADED' WHEN 1 THEN 'SUSPICIOUS' WHEN 2 THEN 'ISOLATED' WHEN 3 THEN 'RECOVERY' WHEN 4 THEN 'NONE' WHEN 5 THEN 'TRUSTED' ELSE 'VERIFIED' END"
+_INTEGRITY = "CASE event_id % 5 WHEN 0 THEN 'MODIFIED' WHEN 1 THEN 'UNKNOWN' ELSE 'VERIFIED' END"
 
 
-@query(f"""WITH rules(idx, effect, role, pattern, operation, max_risk) AS (VALUES {', '.join(f"({i}, '{e}', '{r}', '{p}', '{o}', {security.LEVELS.index(m)})" for i, e, r, p, o, m in _POLICY)}),
-q AS (SELECT event_id, event_type AS op, CASE user_id % 3 WHEN 0 THEN 'buyer' WHEN 1 THEN 'staff' ELSE 'guest' END AS role, '/en/' || user_id AS res, CASE WHEN value > 20 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END AS risk FROM events),
-j AS (SELECT q.event_id, min(idx) FILTER (effect = 'deny') AS d, min(idx) FILTER (effect = 'allow' AND risk <= max_risk) AS a FROM q LEFT JOIN rules ON (rules.role = '*' OR rules.role = q.role) AND operation = op AND res GLOB pattern GROUP BY 1)
+@query(f"""WITH rules(idx, effect, role, pattern, operation, integrity, max_risk) AS (VALUES {', '.join(f"({i}, '{e}', '{r}', '{p}', '{o}', {g}, {security.LEVELS.index(m)})" for i, e, r, p, o, g, m in _POLICY)}),
+states(state, op) AS (VALUES {', '.join(f"('{st}', '{o}')" for st, ops in security.STATE_OPERATIONS.items() for o in ops)}),
+q AS (SELECT event_id, {_OPERATION} AS op, {_STATE} AS state, {_INTEGRITY} AS integrity, CASE user_id % 3 WHEN 0 THEN 'buyer' WHEN 1 THEN 'staff' ELSE 'guest' END AS role, '/en/' || user_id AS res, CASE WHEN value > 20 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END AS risk FROM events),
+j AS (SELECT q.event_id, min(idx) FILTER (effect = 'deny') AS d, min(idx) FILTER (effect = 'allow' AND risk <= max_risk AND list_contains(rules.integrity, q.integrity)) AS a
+FROM q LEFT JOIN rules ON (rules.role = '*' OR rules.role = q.role) AND operation = op AND res GLOB pattern AND (state, op) IN (SELECT (state, op) FROM states) GROUP BY 1)
 SELECT event_id, d IS NULL AND a IS NOT NULL AS allowed, coalesce(d, a, -1) AS rule FROM j""")
 def policy_decisions(spark, sf_dir):
-    rules = spark.createDataFrame(_POLICY, "idx int, effect string, role string, resource string, operation string, max_risk string")
+    rules = spark.createDataFrame(_POLICY, "idx int, effect string, role string, resource string, operation string, integrity array<string>, max_risk string")
     user = F.col("user_id") % 3
     requests = table(spark, sf_dir, "events").select(
-        "event_id", F.col("event_type").alias("req_operation"), F.when(user == 0, "buyer").when(user == 1, "staff").otherwise("guest").alias("req_role"),
+        "event_id", F.expr(_OPERATION).alias("req_operation"), F.expr(_STATE).alias("req_state"), F.expr(_INTEGRITY).alias("req_integrity"), F.when(user == 0, "buyer").when(user == 1, "staff").otherwise("guest").alias("req_role"),
         F.concat(F.lit("/en/"), F.col("user_id").cast("string")).alias("req_resource"), F.when(F.col("value") > 20, "HIGH").when(F.col("value") > 10, "MEDIUM").otherwise("LOW").alias("req_risk"),
     )
     return security.decide(requests, rules).withColumn("rule", F.coalesce("rule", F.lit(-1)))
@@ -507,14 +544,47 @@ def journal_gaps(spark, sf_dir):
     return journal.gaps(table(spark, sf_dir, "events"), ["user_id"], "event_id")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text, coalesce(lag(md5(text)) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prev, md5(text) AS m FROM conversations),
-x AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 50 = 0 THEN text || '!' ELSE text END AS text, prev, md5(prev || '|' || text) AS mac FROM c), y AS (SELECT *, coalesce(lag(md5(text)) OVER (PARTITION BY conv_id ORDER BY turn), '') AS want FROM x)
-SELECT conv_id, turn FROM y WHERE prev <> want OR mac <> md5(prev || '|' || text)""")
+SECRET = b"a secret of the log, longer than one block of the digest that the codes are made with"
+
+
+def _log(spark, sf_dir):
+    return ordered.chained(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", SECRET)
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 50 = 0")
 def audit_link_check(spark, sf_dir):
-    """A chained log in which some payloads were changed afterwards: the broken links."""
-    log = journal.chain(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
-    changed = log.withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 50 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return journal.broken_links(changed, ["conv_id"], "turn", "text")
+    """A log chained by keyed codes in which some payloads were changed afterwards: the links that do not fit."""
+    changed = _log(spark, sf_dir).withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 50 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    return journal.broken_links(changed, ["conv_id"], "turn", "text", SECRET)
+
+
+@query("""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT conv_id, CASE conv_id % 10 WHEN 0 THEN CASE WHEN n = 1 THEN 'LOST' ELSE 'TRUNCATED' END WHEN 1 THEN 'REPLACED' ELSE 'EXTENDED' END AS state FROM n WHERE conv_id % 10 <= 2""")
+def audit_anchor_check(spark, sf_dir):
+    """Chains whose tail was cut, whose last code was replaced, or that grew, against anchors kept apart."""
+    log, key = _log(spark, sf_dir), F.col("conv_id") % 10
+    kept = journal.anchors(log, ["conv_id"], "turn")
+    last = log.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    tail = log.join(last, "conv_id").where(~((key == 0) & (F.col("turn") == F.col("_last"))))
+    mac = F.when((key == 1) & (F.col("turn") == F.col("_last")), F.lit("0")).otherwise(F.col("mac"))
+    now = tail.select("conv_id", F.explode(F.when((key == 2) & (F.col("turn") == F.col("_last")), F.array("turn", F.col("turn") + 1)).otherwise(F.array("turn"))).alias("turn"), mac.alias("mac"))
+    return journal.unanchored(now, kept, ["conv_id"], "turn")
+
+
+@query("SELECT conv_id, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS sha256 FROM conversations GROUP BY 1")
+def stream_digest(spark, sf_dir):
+    """The digest of each conversation's text as one stream of bytes."""
+    rows = ordered.running_digest(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text")
+    return rows.groupBy("conv_id").agg(F.max_by("sha256", "turn").alias("sha256"))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 41 <> 0 AND (turn = 0 OR (conv_id + turn) % 37 <> 0) AS ok FROM conversations)
+SELECT conv_id, count(*) FILTER (ok) AS n_valid, CASE WHEN min(turn) FILTER (NOT ok) IS NULL THEN 'CLEAN' WHEN min(turn) FILTER (NOT ok) = max(turn) THEN 'TORN_TAIL' ELSE 'CORRUPT' END AS state FROM e GROUP BY conv_id""")
+def journal_records(spark, sf_dir):
+    """Journal entries judged by their bytes: some checksums were spoilt, some numbers jump (and fall back)."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("body"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("sum"))
+    spoilt = F.when((F.col("conv_id") * 7 + F.col("turn")) % 41 == 0, F.col("sum") + 1).when((F.col("turn") > 0) & ((F.col("conv_id") + F.col("turn")) % 37 == 0), F.lit(-1)).otherwise(F.col("sum"))
+    return journal.torn_tail(journal.records(rows.withColumn("sum", spoilt), ["conv_id"], "turn", "body", "sum"), ["conv_id"], "turn", "valid")
 
 
 @query("""SELECT conv_id, count(*) FILTER (ok) AS n_valid, CASE WHEN min(turn) FILTER (NOT ok) IS NULL THEN 'CLEAN' WHEN min(turn) FILTER (NOT ok) = max(turn) THEN 'TORN_TAIL' ELSE 'CORRUPT' END AS state
@@ -524,9 +594,12 @@ def torn_tail(spark, sf_dir):
     return journal.torn_tail(rows, ["conv_id"], "turn", "ok")
 
 
-@query(f"""SELECT event_id, round(max(value) OVER ({_range(1, 'user_id, event_type')}) - min(value) OVER ({_range(1, 'user_id, event_type')}), 6) AS increase FROM events""")
+@query(f"""WITH s AS (SELECT event_id, user_id, event_type, ts, value, lead(ts) OVER w AS next_ts, lead(value) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
+SELECT a.event_id, round(coalesce(sum(CASE WHEN b.next >= b.value THEN b.next - b.value ELSE b.next END), 0.0), 6) AS increase
+FROM events a LEFT JOIN s b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts >= a.ts - INTERVAL {DAY} SECONDS AND b.next_ts <= a.ts GROUP BY a.event_id""")
 def metric_increase(spark, sf_dir):
-    return journal.increase(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "value", DAY).select("event_id", F.round("increase", 6).alias("increase"))
+    """Growth of a counter over a day: steps between neighbouring samples, a step down being a reset to zero."""
+    return journal.increase(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "value", DAY, "event_id").select("event_id", F.round("increase", 6).alias("increase"))
 
 
 # --- experiments ---------------------------------------------------------------------------------------------------------
@@ -590,8 +663,9 @@ def rate_histogram(spark, sf_dir):
 
 
 _TALLY = "t AS (SELECT l_suppkey AS ref, l_returnflag AS block, l_linenumber AS idx, count(*) AS cnt FROM lineitem GROUP BY ALL)"
-_WEIGHTS = "w AS (SELECT ref, b, CASE WHEN h < 37 THEN 0 WHEN h < 74 THEN 1 WHEN h < 92 THEN 2 ELSE 3 END AS w FROM (SELECT ref, b, CAST(('0x' || substr(md5(ref || ':' || b), 1, 7)) AS BIGINT) % 100 AS h FROM (SELECT DISTINCT ref FROM t), range(20) AS r(b)))"
-_TOTALS = f"{_TALLY}, {_WEIGHTS}, x AS (SELECT b, block, idx, CAST(sum(w * cnt) AS BIGINT) AS total FROM t JOIN w USING (ref) WHERE w > 0 GROUP BY ALL)"
+_WEIGHTS = """r AS (SELECT ref, row_number() OVER (ORDER BY ref) - 1 AS number FROM (SELECT DISTINCT ref FROM t)),
+w AS (SELECT ref, d.b, count(*) AS w FROM (SELECT b, CAST(('0x' || substr(md5(b || ':' || number), 1, 15)) AS BIGINT) % (SELECT count(*) FROM r) AS drawn FROM r, range(20) AS x(b)) d JOIN r ON r.number = d.drawn GROUP BY ALL)"""
+_TOTALS = f"{_TALLY}, {_WEIGHTS}, x AS (SELECT b, block, idx, CAST(sum(w * cnt) AS BIGINT) AS total FROM t JOIN w USING (ref) GROUP BY ALL)"
 
 
 @query(f"WITH {_TALLY} SELECT ref, block, idx, cnt FROM t")
@@ -704,3 +778,5 @@ def channel_reads(spark, sf_dir):
 
 
 FLAGSHIP = strand_summary
+
+from . import more  # noqa: E402, F401  further queries
