@@ -26,7 +26,9 @@ def components(edges: DataFrame, keep=cut) -> DataFrame:
     logarithm of the longest path. Each round is cut by a checkpoint. Labels of
     a large component meet in one key only as a one-row-per-label lookup, in a
     join that AQE can split. ``keep`` cuts the end of a round; graphs with long
-    chains need ``written`` there.
+    chains need ``written`` there. Repeated edges count once; an empty table gives
+    an empty result. (``operators.clustering`` has the same for reads; this package
+    stands for itself.)
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))

@@ -8,9 +8,11 @@ two thirds of the sample, prune its last conditions on the other third, keep it
 if it is precise there, and remove the rows it covers. The rules become one
 ordered ``when ... when ... otherwise`` expression.
 
-Defined results: a null text has no words. Repeated rows are judged alike. With
-no usable labels the list is empty and only the base rule rejects. Empty tables
-give empty results; extra columns are kept by ``keep``.
+Defined results: a null text has no words. Texts of any length are read whole.
+Repeated rows are judged alike; a document labelled twice counts once, with its
+lowest label. With no usable labels the list is empty and only the base rule
+rejects. Empty tables give empty results; extra columns, whatever their names, are
+ignored by ``judged`` and kept by ``keep``.
 
 Equality of 3-word windows is decided by 64-bit hashes within a document.
 """
@@ -29,8 +31,6 @@ from ._shared import SPACE, fold, let, text_of
 SAMPLE = 8_000
 #: Rules and conditions in a rule, at most; precision that a rule needs on the pruning third.
 MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVER = 12, 3, 0.9, 3
-#: Distinct repeated windows up to which positions are found by membership, else by sorting.
-FEW = 8
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,19 +44,15 @@ def _covered(starts: Column) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    def by_sort(h):
-        s = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        return let(s, lambda s: F.array_sort(F.transform(
+    def starts(h):
+        s = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        return let(s, lambda s: F.sort_array(F.transform(
             F.filter(s, lambda e, i: F.coalesce((i > 0) & (F.get(s, i - 1)["x"] == e["x"]), F.lit(False)) | F.coalesce(F.get(s, i + 1)["x"] == e["x"], F.lit(False))),
             lambda e: e["i"])))
 
-    def by_member(h, twice):
-        at = F.transform(h, lambda x, i: F.when(F.array_contains(twice, x), i))
-        return F.filter(at, lambda i: i.isNotNull())
-
     def of(h):
-        twice = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce((i > 0) & (F.get(s, i - 1) == x), F.lit(False)))))
-        return let(twice, lambda d: F.when(F.size(d) == 0, F.lit(0)).when(F.size(d) <= FEW, let(by_member(h, d), _covered)).otherwise(let(by_sort(h), _covered)))
+        n = F.size(F.array_distinct(h))
+        return F.when(n == F.size(h), F.lit(0)).otherwise(let(starts(h), _covered))
 
     windows = F.transform(
         F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))),
@@ -221,21 +217,24 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[t
     return [({f: _value(r["s"], f) for f in FEATURES}, r["quality"]) for r in rows]
 
 
-def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with _stats (struct), _base_failed, _rule (number of the rule that rejects, or null) and _kept."""
-    out = docs.withColumn("_stats", statistics(text_of()))
-    n, again = F.col("_stats.n_words"), F.col("_stats.n_repeat_words")
+def _judged(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` (carried, text) with stats (struct), base_failed, rule (number of the rule that rejects, or null) and kept."""
+    out = rows.select("carried", statistics(text_of()).alias("stats"))
+    n, again = F.col("stats.n_words"), F.col("stats.n_repeat_words")
     which = F.lit(None).cast("int")
     for i, rule in reversed(list(enumerate(rules))):
-        which = F.when(rule.column("_stats"), F.lit(i)).otherwise(which)
-    return (
-        out.withColumn("_base_failed", (n < 50) | (100 * again > 50 * n))
-        .withColumn("_rule", which)
-        .withColumn("_kept", ~F.col("_base_failed") & F.col("_rule").isNull())
-    )
+        which = F.when(rule.column("stats"), F.lit(i)).otherwise(which)
+    failed = (n < 50) | (100 * again > 50 * n)
+    return out.withColumns({"base_failed": failed, "rule": which}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def judged(docs: DataFrame, rules: list[Rule], id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, stats (struct), base_failed, rule (number of the rule that rejects, or null) and kept of every row."""
+    rows = docs.select(F.col(f"`{id_column}`").alias("carried"), F.col(f"`{text}`").alias("text"))
+    return _judged(rows, rules).withColumnRenamed("carried", id_column)
 
 
-def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def keep(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base rule and the decision list accept, all columns as they were."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return judged(held, rules).where("_kept").select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried"), F.col(f"`{text}`").alias("text"))
+    return _judged(rows, rules).where("kept").select("carried.*")

@@ -40,7 +40,7 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+    return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.learn(quality_rules.labelled(docs, table(spark, sf_dir, "labels")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return quality_rules.judged(docs.select("doc_id", "text"), rules).select(
-        "doc_id", *[F.col(f"_stats.{n}").alias(n) for n in names], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept")
-    )
+    return quality_rules.judged(docs, rules).select("doc_id", *[F.col(f"stats.{n}").alias(n) for n in names], "base_failed", "kept")
 
 
 def queries() -> dict:
@@ -74,8 +72,9 @@ def _hit(term: str) -> str:
 
 
 def _op8_sql() -> str:
-    soft = " + ".join(f"CAST({_hit(t)} AS INT)" for t in url_filter.SOFT)
-    strict = " + ".join(f"len(regexp_extract_all(u2, '(^|[^a-z0-9]){t}([^a-z0-9]|$)'))" for t in url_filter.STRICT)
+    terms = url_filter.read_terms()
+    soft = " + ".join(f"CAST({_hit(t)} AS INT)" for t, _, w in terms if w < url_filter.STRICT_WEIGHT)
+    strict = " + ".join(f"len(regexp_extract_all(u2, '(^|[^a-z0-9]){t}([^a-z0-9]|$)'))" for t, _, w in terms if w >= url_filter.STRICT_WEIGHT)
     fits = []
     for what, host, path in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2])):
         fits.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{what} {host}{path}'")

@@ -106,6 +106,8 @@ def test_rules_learn_and_keep(spark, docs, clashing, empty):
     assert quality_rules.learn([]) == []
     left = quality_rules.keep(clashing, rules)
     assert left.columns == clashing.columns and all(len((r["text"] or "").split()) >= 50 for r in left.collect())
+    clash = clashing.withColumns({n: F.lit(7) for n in ("carried", "stats", "kept", "rule")})
+    assert quality_rules.judged(clash, rules).count() == clash.count() and quality_rules.keep(clash, rules).columns == clash.columns
     assert quality_rules.judged(empty, rules).count() == 0
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality_rules.labelled(docs, labels) == []
@@ -471,15 +473,32 @@ def test_shrinkage_and_density():
 
 
 def test_url_filter(spark):
-    urls = ["http://a.Example.ORG/es/1?q", "https://x.example.org/en/15", "https://example.org/zz", "http://shop.example.com/fr/1", "http://b.com/de/", "http://cheap-pills.net/x", "http://cheapskate.net/pills", "https://casino.net", "https://mycasinos.net", None, "no scheme/casino", "http://a.org", "ftp://h?x/de/"]
-    got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")).orderBy("page_id").collect()]
+    urls = ["http://a.Example.ORG/es/1?q", "https://x.example.org/en/15", "https://example.org/zz", "http://shop.example.com/fr/1", "http://b.com/de/", "http://jackpot-bingo.net/x", "http://jackpotbingo.net/bingo", "https://casino.net", "https://mycasinos.net", None, "no scheme/casino", "http://a.org", "ftp://h?x/de/", "", "http://x.net/" + "a/" * 3_000_000 + "PORN"]
+    got = [(r["host"], r["path"] if len(r["path"]) < 99 else len(r["path"]), r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")).orderBy("page_id").collect()]
     assert got == [
         ("a.example.org", "/es/1", "example.org/es/", "block"), ("x.example.org", "/en/15", "example.org/en/1", "block"), ("example.org", "/zz", "org/", "allow"), ("shop.example.com", "/fr/1", "com/fr/", "allow"),
-        ("b.com", "/de/", "com/de/", "block"), ("cheap-pills.net", "/x", None, "block"), ("cheapskate.net", "/pills", None, "allow"), ("casino.net", "", None, "block"), ("mycasinos.net", "", None, "allow"),
-        ("", "", None, "allow"), ("", "", None, "block"), ("a.org", "", None, "allow"), ("h", "", None, "allow"),
+        ("b.com", "/de/", "com/de/", "block"), ("jackpot-bingo.net", "/x", None, "block"), ("jackpotbingo.net", "/bingo", None, "allow"), ("casino.net", "", None, "block"), ("mycasinos.net", "", None, "allow"),
+        ("", "", None, "allow"), ("", "", None, "block"), ("a.org", "", None, "allow"), ("h", "", None, "allow"), ("", "", None, "allow"), ("x.net", 6_000_005, None, "block"),
     ]
 
 
+def test_url_filter_tables_and_vocabulary(spark, tmp_path):
+    rows = [(1, "http://casino.net", 5, 5), (1, "http://casino.net", 5, 5), (None, "http://fine.net", 6, None), (2, "http://slots-lotto.net", 7, 7)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, host int, _url int")
+    out = sorted((str(r["page_id"]), r["verdict"], r["host"]) for r in url_filter.judge(pages).collect())
+    assert out == [("1", "block", "casino.net"), ("1", "block", "casino.net"), ("2", "block", "slots-lotto.net"), ("None", "allow", "fine.net")]
+    left = url_filter.keep(pages)
+    assert left.columns == pages.columns and [tuple(r) for r in left.collect()] == [(None, "http://fine.net", 6, None)]
+    assert url_filter.judge(pages.limit(0)).count() == 0 and url_filter.keep(pages.limit(0)).columns == pages.columns
+    terms = url_filter.read_terms()
+    assert len(terms) >= 150 and len({t for t, _, _ in terms}) == len(terms) and {w for _, _, w in terms} == {1, 2}
+    (tmp_path / "own.txt").write_text("a 1 fine net\n# none\n\nb 2 fine\n")
+    own = url_filter.read_terms(str(tmp_path / "own.txt"))
+    assert own == (("fine", "b", 2), ("net", "a", 1)) and url_filter.hits("http://FINE.net", own) == (1, 1)
+    assert {r["verdict"] for r in url_filter.judge(pages, rules=(), terms=own).collect()} == {"allow", "block"}
+    assert {r["verdict"] for r in url_filter.judge(pages, rules=(), terms=()).collect()} == {"allow"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     import duckdb
