@@ -38,8 +38,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Matches that a worker keeps; characters up to which one is kept; bytes of a slice of rows.
-KEPT, KEPT_CHARS, SLICE = 50_000, 24, 1 << 24
+#: Matches that a worker keeps; characters up to which one is kept; bytes of a slice of rows; runs gathered at a time.
+KEPT, KEPT_CHARS, SLICE, GATHERED = 50_000, 24, 1 << 24, 1 << 17
 #: A space after other white space, or a separator on which libraries differ: such texts are cut by the pattern itself.
 ODD = r"[\t-\r\x{85}\p{Z}] |[\x1c-\x1f]"
 
@@ -131,31 +131,39 @@ class Codec:
             ends.append(len(ids))
         return np.frombuffer(ids, np.uint32), np.frombuffer(ends, np.int64)
 
-    def encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends) of all texts of an array without nulls."""
+    def encode_slice(self, texts: pa.Array):
+        """The ids of each text of an array without nulls in turn. Runs are encoded for the whole slice, and gathered for
+        some texts at a time."""
         odd = pc.match_substring_regex(texts, ODD)
         for t in self._added:
             odd = pc.or_(odd, pc.match_substring(texts, t))
         odd = odd.to_numpy(zero_copy_only=False)
         whole = {int(i): self._odd(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if whole else texts, " ")
-        runs = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py())
-        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()  # a text's first run has no space before it
-        firsts = [whole[i] if i in whole else self._matches(x) for i, x in enumerate(runs.take(pa.array(at[:-1])).to_pylist())]
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        runs = lists.values.slice(lists.offsets[0].as_py(), int(at[-1]))
+        firsts = runs.take(pa.array(at[:-1])).to_pylist()  # a text's first run has no space before it
         coded = runs.dictionary_encode()
+        del lists, runs
         ids, ends = self._runs(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy().copy()
-        which[at[:-1]] = len(ends) + np.arange(len(firsts))
-        sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, firsts), np.int64, len(firsts)) // 4])
-        table = np.concatenate([ids, np.frombuffer(b"".join(firsts), np.uint32)])
-        n = sizes[which]
-        stop = np.cumsum(n)
-        small = np.int32 if stop[-1] < 2**31 else np.int64
-        shift = ((np.cumsum(sizes) - sizes)[which] - stop + n).astype(small)
-        place = np.repeat(shift, n)
-        place += np.arange(len(place), dtype=small)
-        out = table[place]
-        return out, stop[at[1:] - 1]
+        which = coded.indices.to_numpy()
+        sizes = np.diff(ends, prepend=0)
+        starts = ends - sizes
+        lo = 0
+        while lo < len(firsts):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + GATHERED, side="right")) - 1)
+            own = which[at[lo] : at[hi]]
+            n = sizes[own]
+            n[at[lo:hi] - at[lo]] = 0
+            stop = np.cumsum(n)
+            place = np.repeat(starts[own] - stop + n, n)
+            place += np.arange(len(place))
+            out, last = ids[place], 0
+            for i, end in zip(range(lo, hi), stop[at[lo + 1 : hi + 1] - at[lo] - 1].tolist(), strict=True):
+                first = whole[i] if i in whole else self._matches(firsts[i])
+                yield np.concatenate([np.frombuffer(first, np.uint32), out[last:end]])
+                last = end
+            lo = hi
 
     def encode_all(self, texts: pa.Array):
         """The ids of each text in turn; nulls are empty."""
@@ -165,11 +173,8 @@ class Codec:
         while first < len(texts):
             base = sizes[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(sizes, base + SLICE, side="right")))
-            ids, ends = self.encode_slice(texts.slice(first, last - first))
-            start = 0
-            for end in ends.tolist():
-                yield ids[start:end]
-                start = end
+            yield from self.encode_slice(texts.slice(first, last - first))
+            pa.default_memory_pool().release_unused()
             first = last
 
     def encode(self, text: str) -> np.ndarray:
