@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import archive, consensus, experiments, pools, screening, security, tally, taxonomy
+from ..operators import archive, consensus, experiments, pools, screening, security, stripes, tally, taxonomy
 from .archives import with_offsets
 from .catalog import _SEQ, _STRANDS, _V, RULES, _bytes, _cut_strands, _docs, _encoded, _events, _symbols, candidate_pairs, query
 from .catalog import _PAIRS as PAIRS_SQL
@@ -393,3 +393,37 @@ def metric_rollup(spark, sf_dir):
 def decision_log(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("action"))
     return experiments.provenance(rows, "conv_id", ["turn"], "role", "action")
+
+
+# --- recovery ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, doc_id % 10 <> 9 OR strlen(coalesce(text, '')) <= 288 AS verified FROM documents")
+def stripe_recovery(spark, sf_dir):
+    """Documents in stripes of four rows; symbols and whole rows are lost, of every tenth document more rows than the columns can bear."""
+    g = stripes.Geometry(6, 2, 4, 2, 24)
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("file"), _bytes().alias("data"))
+    sizes = docs.select("file", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("sha256"))
+    sent = stripes.encode(stripes.cut_into_symbols(docs, "file", F.col("data"), g), g)
+    some = (F.col("line") * 7 + F.col("symbol") * 3 + F.col("file")) % 5 == 0
+    row = ((F.col("file") + F.col("stripe")) % 3 == 0) & (F.col("line") == 1)
+    rows = (F.col("file") % 10 == 9) & (F.col("line") < 3)
+    found = stripes.recover(sent.where(~(some & (F.col("line") < 4)) & ~row & ~rows), sizes, g)
+    whole = found.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stripe", "line", "symbol", F.hex("payload").alias("h")))), lambda x: x["h"]), "").alias("h"))
+    out = sizes.join(whole, "file", "left").withColumn("data", F.unhex(F.substring(F.coalesce("h", F.lit("")), F.lit(1), (2 * F.col("size")).cast("int"))))
+    return out.select(F.col("file").alias("doc_id"), "sha256", F.coalesce(F.sha2("data", 256) == F.col("sha256"), F.lit(False)).alias("verified"))
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS sha256, doc_id % 50 <> 2 OR coalesce(text, '') = '' AS verified FROM documents WHERE doc_id % 50 <> 1""")
+def pool_recovery(spark, sf_dir):
+    """All documents in one pool of shuffled reads, decoded from the reads alone; of some the descriptions are lost, of some the data."""
+    from ..kernels.channel import Channel
+    from . import codec
+
+    docs = _docs(spark, sf_dir)
+    strands = codec.encode(docs, "doc_id", _bytes(), described=True)
+    kept = strands.where(~((F.col("file") % 50 == 1) & (F.col("grp") < 0)) & ~((F.col("file") % 50 == 2) & (F.col("grp") >= 0) & ((F.col("symbol") < 40) | (F.col("symbol") >= 64))))
+    reads = codec.read(kept, Channel(seed=11, coverage=4.0, model="fixed", substitution=0.004, insertion=0.0001, deletion=0.0001, reverse=0.5))
+    _, verdicts = codec.decode_pool(reads.select("seq", "qual"))
+    names = docs.select("doc_id", (F.col("doc_id") % 65_536).cast("int").alias("tag"))
+    return verdicts.join(names, "tag").select("doc_id", "sha256", "verified")

@@ -4,8 +4,9 @@
     df.write.format("fastx").mode("append").save("file:///shared/out")      # columns name, seq[, qual]
 
 Files must lie in a folder that all executors share. The reader cuts files into
-byte ranges; a range owns the records that begin in it. In FASTQ a record
-begins at a line "@..." whose third line begins with "+" and whose second and
+byte ranges; a range owns the records that begin in it. A file ending in .gz can't
+be cut and is one range. Options: rangeBytes, kind, maxReads (of each file, in
+order), maxLength (a longer record raises). In FASTQ a record begins at a line "@..." whose third line begins with "+" and whose second and
 fourth lines have equal lengths, which no quality line can imitate at both ends.
 For stores that only Spark reads, ``lines`` parses the text source instead.
 """
@@ -13,8 +14,11 @@ For stores that only Spark reads, ``lines`` parses the text source instead.
 from __future__ import annotations
 
 import glob
+import gzip
 import os
+import sys
 import uuid
+from itertools import islice
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +43,13 @@ def files(path: str) -> list[str]:
     return found
 
 
+def opened(path: str):
+    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")
+
+
 def detect(path: str) -> str:
     """fasta, fastq or plain, by the first character that is not white space; packed files are refused."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         head = f.read(4096).lstrip()
     if head[:4] == b"SLPK":
         raise ValueError(f"{path} holds packed strands; read it with format packed")
@@ -72,19 +80,25 @@ class FastxReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.size = options["path"], int(options.get("rangeBytes", 64 << 20))
         self.kind = options.get("kind")
+        self.most, self.longest = (int(options.get(n, 0)) or None for n in ("maxReads", "maxLength"))
 
     def partitions(self):
         out = []
         for f in files(self.path):
             n, kind = os.path.getsize(f), self.kind or detect(f)
-            out += [Range(f, kind, a, min(n, a + self.size)) for a in range(0, n, self.size)]
+            # a packed file, or the first reads of one, are read from the front
+            whole = f.endswith(".gz") or self.most is not None
+            out += [Range(f, kind, 0, sys.maxsize)] if whole and n else [Range(f, kind, a, min(n, a + self.size)) for a in range(0, n, self.size)]
         return out or [Range("", "plain", 0, 0)]
 
     def read(self, part):
         if not part.path:
             return
-        with open(part.path, "rb") as f:
-            for name, seq, qual in {"fasta": _fasta, "fastq": _fastq, "plain": _plain}[part.kind](f, part.start, part.stop):
+        with opened(part.path) as f:
+            records = {"fasta": _fasta, "fastq": _fastq, "plain": _plain}[part.kind](f, part.start, part.stop)
+            for name, seq, qual in islice(records, self.most):
+                if self.longest is not None and len(seq) > self.longest:
+                    raise ValueError(f"{part.path}: a record has more than {self.longest} letters")
                 text = seq.decode("ascii", "replace").upper()
                 yield name, text, qual, bool(text.translate({65: None, 67: None, 71: None, 84: None, 78: None}))
 
