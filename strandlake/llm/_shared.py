@@ -17,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 #: Bits of the sieve before a semi join (8 MB), a power of two.
 SIEVE_BITS = 1 << 26
+#: Rows of a file of narrow rows.
+ROWS_A_FILE = 100_000
 #: Rows and bytes of a batch for Python workers.
 BATCH_ROWS, BATCH_BYTES = 4096, "16m"
 
@@ -50,10 +52,18 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandlake-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from there.
+
+    ``rows``: about how many it has, where that is known; then each file gets up to ``ROWS_A_FILE`` of them
+    instead of every shuffle partition a file of its own.
+    """
     prepare(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(files_for(rows))).checkpoint()
+
+
+def files_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_FILE))
 
 
 def let(value: Column, use) -> Column:

@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, prepare
+from ._shared import cut, files_for, prepare
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """As ``cut``, but as Parquet: a checkpoint keeps the optimizer's size estimate, whose digits double with every join."""
     prepare(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(files_for(rows))).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -31,14 +31,15 @@ def components(edges: DataFrame, keep=cut) -> DataFrame:
     stands for itself.)
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    n = both.count()  # nodes are no more; the tables of a round get files by their number
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), n)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = cut(labels.join(near, "node").select("node", F.least("root", "near").alias("next"), "root"))
+        step = cut(labels.join(near, "node").select("node", F.least("root", "near").alias("next"), "root"), n)
         lookup = step.select(F.col("node").alias("next"), F.col("next").alias("up"))
-        jumped = cut(step.join(lookup, "next", "left").select("node", F.coalesce("up", "next").alias("next"), "root"))
+        jumped = cut(step.join(lookup, "next", "left").select("node", F.coalesce("up", "next").alias("next"), "root"), n)
         again = jumped.select(F.col("node").alias("next"), F.col("next").alias("up"))
-        new = keep(jumped.join(again, "next", "left").select("node", F.coalesce("up", "next").alias("next"), "root"))
+        new = keep(jumped.join(again, "next", "left").select("node", F.coalesce("up", "next").alias("next"), "root"), n)
         labels = new.select("node", F.col("next").alias("root"))
         if new.where("next != root").isEmpty():
             return labels

@@ -19,8 +19,9 @@ same one are linked to the smallest (at most 65 share one, by construction).
 Defined results: null and empty texts have fingerprint 0 and link like any
 other; a text of fewer words than a shingle is one shingle; words repeat as
 often as they occur. A null id takes part, but a component's id is null only if
-all its ids are. Repeated rows get the same result. Extra columns are ignored by
-``classes`` and kept by ``one_of_each``.
+all its ids are. Texts of any length are hashed whole. Repeated rows get the same
+result; an empty table gives an empty result. Extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -93,11 +94,12 @@ def _flips() -> Column:
 
 def _links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that connect exactly what is within 2 bits, among distinct fingerprints ``fp``."""
+    n = nodes.count()
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(2))])
     rows = nodes.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    buckets = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    buckets = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), n)
     pairs = buckets.where("n = 2").select("a", "b").where(_far("a", "b") <= 2)
-    crowd = cut(rows.join(buckets.where("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct())
+    crowd = cut(rows.join(buckets.where("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct(), n)
     near = crowd.select("fp", F.explode(_flips()).alias("mid"))
     stars = near.groupBy("mid").agg(F.collect_list("fp").alias("all"), F.min("fp").alias("a")).where(F.size("all") > 1)
     return pairs.union(stars.select("a", F.explode("all").alias("b")).where("a != b")).distinct()
@@ -106,11 +108,12 @@ def _links(nodes: DataFrame) -> DataFrame:
 def classes(df: DataFrame, words: int = 3, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, fp (bigint), component_id, n_copies (rows with the same fingerprint) of every row."""
     rows = cut(fingerprints(df, words, id_column, text))
-    nodes = cut(rows.groupBy("fp").agg(F.min(id_column).alias("first"), F.count("*").alias("n_copies")))
-    labels = cut(components(_links(nodes)).withColumnRenamed("node", "fp"))
-    rooted = cut(nodes.join(labels, "fp", "left").select("fp", "first", "n_copies", F.coalesce("root", "fp").alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    of = cut(rooted.join(least, "root").select("fp", "component_id", "n_copies"))
+    n = rows.count()
+    nodes = cut(rows.groupBy("fp").agg(F.min(id_column).alias("first"), F.count("*").alias("n_copies")), n)
+    labels = components(_links(nodes)).withColumnRenamed("node", "fp")
+    rooted = cut(nodes.join(labels, "fp", "left").select("fp", "first", "n_copies", F.coalesce("root", "fp").alias("root")), n)
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = cut(rooted.join(least, "root").select("fp", "component_id", "n_copies"), n)
     return attach(rows, of, ["fp"]).select(id_column, "fp", "component_id", "n_copies")
 
 
