@@ -48,7 +48,8 @@ _MAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 _EDGE = ".,;:!?()[]{}\"'<>|"
 
@@ -94,7 +95,14 @@ def base(text: str) -> list[list[tuple[int, int]]]:
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text)]
+    """Words that hold a digit or "@", found from these signs outwards so that time stays linear in any text."""
+    out, end = [], 0
+    while m := _SOME.search(text, end):
+        start = max(end, *(text.rfind(c, end, m.start()) + 1 for c in _SPACES))
+        after = _SPACE.search(text, m.end())
+        end = after.start() if after else len(text)
+        out.append((start, end))
+    return out
 
 
 def _bucket(n: int, edges: tuple[int, ...]) -> list[float]:

@@ -34,8 +34,8 @@ white space between them) share such a gram; those that share fewer than 26 don'
 Defined results: null texts are empty; texts shorter than ``width`` lose
 nothing. Rows that repeat id and text are two texts, so all their windows repeat,
 but one document to ``n_shared``. Empty tables give empty results; extra columns,
-whatever their names, are ignored. A document's contexts and spans meet in one
-task, as its text does; their number is bounded by its length.
+whatever their names, are ignored. Texts of any length are judged whole; a
+document's runs meet in one task, as its text does.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut, marked, matching, sifted
@@ -57,8 +57,8 @@ WIDTH, GRAM = 400, 32
 PASSAGE, WORDS = 51, 26
 #: Neighbouring windows that share a core.
 STEP = 24
-#: Bytes or words hashed at once; strings in one transform; strings of a core up to which it goes to a transform.
-BLOCK, COLLECTION, CROWD = 1 << 20, 4_000, 2_000
+#: Bytes or words hashed at once; strings in one transform; strings of a core up to which it goes to a transform; contexts in a row.
+BLOCK, COLLECTION, CROWD, PART = 1 << 20, 4_000, 2_000, 50_000
 BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -151,7 +151,7 @@ _CONTEXT = pa.struct([("anchor", pa.int64()), ("ctx", pa.int64()), ("at", pa.int
 
 
 def _found(docs: DataFrame, width: int) -> DataFrame:
-    """doc, contexts, grams of every row of ``docs`` (doc, text)."""
+    """doc, contexts, grams of every row of ``docs`` (doc, text); further rows hold what ``PART`` contexts don't."""
     def lists(values: pa.Array, sizes: list[int]) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
@@ -159,20 +159,24 @@ def _found(docs: DataFrame, width: int) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            cols: list[list] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, np.int64)]
-            hashes, sizes, counts = array("Q"), [], []
-            for text in b.column(1).to_pylist():
+            cols: list[list] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            hashes, of, sizes, counts = array("Q"), [], [], []
+            for row, text in enumerate(b.column(1).to_pylist()):
                 data = text.encode("utf-8", "replace")
                 found = contexts(data, width) if len(data) >= width else cols[0][:1] * 4
                 hashes.extend([xxh64_intdigest(data[lo:hi]) for lo, hi in zip(found[2].tolist(), (found[3] + width).tolist(), strict=True)])
                 grams = passages(data)
                 for c, v in zip(cols, (*found, grams), strict=True):
                     c.append(v)
-                sizes.append(len(found[0]))
-                counts.append(len(grams))
+                n = len(found[0])
+                parts = [min(PART, n - i) for i in range(0, n, PART)] or [0]
+                of += [row] * len(parts)
+                sizes += parts
+                counts += [len(grams)] + [0] * (len(parts) - 1)
             anchor, at, lo, hi, grams = map(np.concatenate, cols)
             parts = [pa.array(anchor), pa.array(np.frombuffer(hashes, np.int64)), *(pa.array(c.astype(np.int32)) for c in (at, lo, hi))]
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(pa.StructArray.from_arrays(parts, fields=list(_CONTEXT)), sizes), lists(pa.array(grams), counts)], names=["doc", "contexts", "grams"])
+            rows = [b.column(0).take(pa.array(of, pa.int32())), lists(pa.StructArray.from_arrays(parts, fields=list(_CONTEXT)), sizes), lists(pa.array(grams), counts)]
+            yield pa.RecordBatch.from_arrays(rows, names=["doc", "contexts", "grams"])
 
     return docs.select("doc", "text").mapInArrow(run, "doc binary, contexts array<struct<anchor:bigint,ctx:bigint,at:int,lo:int,hi:int>>, grams array<bigint>")
 
@@ -278,7 +282,7 @@ def spans(docs: DataFrame, found: DataFrame, width: int = WIDTH, crowd: int = CR
 
 def shared_grams(found: DataFrame) -> DataFrame:
     """doc, n_shared of documents with grams that another document has too."""
-    rows = found.select("doc", "grams").groupBy("doc").agg(F.first("grams").alias("grams")).select("doc", F.explode("grams").alias("gram"))
+    rows = found.where(F.size("grams") > 0).select("doc", "grams").dropDuplicates(["doc"]).select("doc", F.explode("grams").alias("gram"))
     twice = cut(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     return matching(rows, twice, ["gram"]).groupBy("doc").agg(F.count("*").alias("n_shared"))
 
@@ -293,22 +297,20 @@ def digests(df: DataFrame, width: int = WIDTH, crowd: int = CROWD, id_column: st
     return _apply(df, width, crowd, id_column, text, "kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest(), pa.string())
 
 
-def merged(found: list[tuple[int, int]]) -> list[list[int]]:
-    """Maximal runs of sorted half-open intervals."""
-    out: list[list[int]] = []
-    for a, b in sorted(found):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def merged(found: DataFrame) -> DataFrame:
+    """doc, found: the maximal runs of each document's spans (doc, start, end), in order. Only runs are put in a list."""
+    order = Window.partitionBy("doc").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (before.isNull() | (F.col("start") > before)).cast("int")
+    rows = found.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = rows.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
 
 
 def _apply(df, width, crowd, id_column, text, last, of, last_type) -> DataFrame:
     docs = df.select(F.col(f"`{id_column}`").alias("id"), _doc(id_column, text).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     found = written(_found(docs, width))
-    runs = spans(docs, found, width, crowd).distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    lists = cut(runs.join(shared_grams(found), "doc", "full"))
+    lists = cut(merged(spans(docs, found, width, crowd).distinct()).join(shared_grams(found), "doc", "full"))
     names = [id_column, "n_bytes", "n_removed", "n_spans", last.split()[0], "n_shared"]
 
     def run(batches):
@@ -316,7 +318,7 @@ def _apply(df, width, crowd, id_column, text, last, of, last_type) -> DataFrame:
             rows: list[list] = [[], [], [], []]
             for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = t.encode("utf-8", "replace")
-                runs = merged([(f["start"], f["end"]) for f in found or ()])
+                runs = [(f["start"], f["end"]) for f in found or ()]
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 kept = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
                 for r, v in zip(rows, (len(data), len(data) - len(kept), len(runs), of(kept)), strict=True):

@@ -284,6 +284,14 @@ def field():
     return pii.fit(np.array(rows))
 
 
+def test_tokens_of_any_text():
+    rng = random.Random(17)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab1@ \n\t.x") for _ in range(rng.randint(0, 30)))
+        assert pii.tokens(t) == [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", t)], t
+    assert pii.tokens("x" * 3_000_000 + "1") == [(0, 3_000_001)] and pii.tokens("x" * 3_000_000) == []
+
+
 def test_field_carries_labels_to_repeated_tokens(field):
     assert field.skip[1] > field.skip[0]
     text = "call +1 (555) 123-4567 now; reach 123-4567 today, version 3.1 of 2024"
