@@ -16,8 +16,10 @@ The plan is a bounded list of intervals (length, first rank, last rank) ->
 plus a running sum) and look their bin up; nothing else moves.
 
 Defined results: a null text is empty; an empty text is one piece that holds
-the closing id alone. Rows that repeat an id are packed each for itself. An
-empty table has no pieces. Extra columns are ignored.
+the closing id alone. Texts of any length are encoded whole. Rows that repeat an id
+are packed each for itself; pieces of equal length are placed in the order of their
+partitions. An empty table has no pieces. Extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

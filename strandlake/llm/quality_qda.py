@@ -12,14 +12,14 @@ and id are never inputs.
 
 Defined results: null and empty texts have the statistics of an empty text and a
 score. Labels other than 0 or 1 are ignored; of several labels of one id the
-least counts. With a class missing all scores are 0.5. Repeated rows get equal
-scores. Empty tables give empty results.
+least counts. With a class missing all scores are 0.5. Texts of any length are
+measured whole. Repeated rows get equal scores (and count as often in learning).
+Empty tables give empty results; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, fold
 
-_DROP_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD_ENDS = ".!?:;"
 NAMES = [
     "log_chars", "log_words", "word_length", "word_length_spread", "distinct_words", "upper", "digits", "punctuation", "symbols",
@@ -150,7 +149,7 @@ def moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
 
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, score, predicted of every row of ``docs``, learned from ``labels`` (id, quality)."""
-    x = cut(vectors(docs, id_column, text))
+    x = cut(vectors(docs, id_column, text))  # id and x alone, so that no other column can clash
     known = labels.where(F.col("quality").isin(0, 1) & (fold(id_column) != 1)).groupBy(id_column).agg(F.min("quality").alias("quality"))
     model = fit(moments(x.join(known, id_column)))
 

@@ -11,7 +11,8 @@ Each space (or "▁") begins a word; "▁" stands before it and before the text.
 counted apart and kept, bounded, in each worker.
 
 Defined results: null and empty texts have no tokens; any length is counted
-whole; repeated rows are counted each.
+whole; repeated rows are counted each; an empty table gives an empty result; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-
-KEPT, KEPT_CHARS = 500_000, 48
+KEPT, KEPT_CHARS = 200_000, 48
 UNKNOWN_PENALTY = 10.0
 
 
@@ -43,32 +43,32 @@ class Counter:
             if piece:
                 self.pieces.add_word(piece, (len(piece), score))
         self.pieces.make_automaton()
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self._kept: dict[str, int] = {}
 
     def word(self, text: str) -> int:
-        """Pieces of the best path over ``text``."""
-        n = len(text)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        found: list[list | None] = [None] * n
-        for end, piece in self.pieces.iter(text):
-            if found[end] is None:
-                found[end] = [piece]
-            else:
-                found[end].append(piece)
-        for i in range(n):
+        """Pieces of the best path over ``text``. Only as many places are kept as the longest piece reaches back."""
+        size = self.longest + 1
+        score, count = [0.0] * size, [0] * size
+        matches = self.pieces.iter(text)
+        match = next(matches, None)
+        for i, c in enumerate(text):
             best, pieces = None, 0
-            for length, s in found[i] or ():
-                a = score[i + 1 - length] + s
+            while match is not None and match[0] == i:
+                length, s = match[1]
+                at = (i + 1 - length) % size
+                a = score[at] + s
                 if best is None or a > best:
-                    best, pieces = a, count[i + 1 - length] + 1
-            if text[i] not in self.single:
-                a = score[i] + self.unknown
+                    best, pieces = a, count[at] + 1
+                match = next(matches, None)
+            if c not in self.single:
+                a = score[i % size] + self.unknown
                 if best is None or a > best:
-                    best, pieces = a, count[i] + len(text[i].encode("utf-8", "replace"))
-            score[i + 1], count[i + 1] = best, pieces
-        return count[n]
+                    best, pieces = a, count[i % size] + len(c.encode("utf-8", "replace"))
+            score[(i + 1) % size], count[(i + 1) % size] = best, pieces
+        return count[len(text) % size]
 
     def _new(self, word: str) -> int:
         n = self.word("▁" + word)
