@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandlake import conformance
 from strandlake.kernels import alignment, channel, frames, models, reed_solomon, superblock
 from strandlake.operators import stripes, tally
-from strandlake.plans import codec
+from strandlake.plans import codec, repair
 
 
 def distance(a, b):
@@ -174,3 +174,83 @@ def test_conformance_vectors(spark):
     built = conformance.check({"id": "b", "operation": "frame4.build", "params": {"profile": "v4-balanced", "tag": 4660, "kind": 0, "group": 7, "symbol": 3}, "inputs": {"payload": payload.hex()}, "expected": {"outputs": {"variant": 0}}})
     strands, variant = frames.build(layout, frames.Screen(), 4660, 0, [7], [3], np.frombuffer(payload, np.uint8)[None])
     assert (built == "agrees") == (variant[0] == 0) and len(hashlib.sha256(strands.tobytes()).digest()) == 32
+
+
+def test_soft_decisions_find_what_hard_ones_miss():
+    layout, _, _ = frames.PROFILES["v4-balanced"]
+    rng = np.random.default_rng(5)
+    payloads = rng.integers(0, 256, (60, 40)).astype(np.uint8)
+    strands, _ = frames.build(layout, frames.Screen(), 1, 0, range(60), range(60), payloads)
+    noisy, quality = strands.copy(), np.full(strands.shape, 30, np.uint8)
+    for i in range(60):
+        for at in rng.choice(layout.frame_bytes, 12, replace=False):  # beyond half the parity, within it as erasures
+            place = layout.frame_at[4 * at + 1]
+            noisy[i, place] = (noisy[i, place] + 1) % 4
+            quality[i, place] = 5
+    f, e, _ = frames.strip(layout, noisy)
+    assert not frames.parse(layout, f, e).ok.any()
+    p = frames.softly(layout, noisy, quality)
+    assert p.ok.all() and (p.payload == payloads).all() and (p.group == np.arange(60)).all()
+
+
+def test_markers_tell_the_way_round():
+    layout, _, _ = frames.PROFILES["v4-balanced"]
+    strands, _ = frames.build(layout, frames.Screen(), 1, 0, range(50), range(50), np.random.default_rng(6).integers(0, 256, (50, 40)).astype(np.uint8))
+    complement = np.array([3, 2, 1, 0, 4], np.uint8)
+    reads = [np.delete(s, 100) if i % 2 else complement[np.insert(s, 50, 2)[::-1]] for i, s in enumerate(strands)]
+    assert frames.lies_forward(layout, reads).tolist() == [i % 2 == 1 for i in range(50)]
+
+
+def test_votes_mend_indels():
+    rng = random.Random(2)
+    for _ in range(20):
+        truth = "".join(rng.choice("ACGT") for _ in range(120))
+        reads = []
+        for _ in range(9):
+            s = list(truth)
+            for _ in range(4):
+                at = rng.randrange(len(s))
+                s[at : at + 1] = rng.choice([[], [rng.choice("ACGT")], [s[at], rng.choice("ACGT")]])
+            reads.append("".join(s))
+        centre = reads[repair.medoid(reads)]
+        for _ in range(repair.ROUNDS):
+            centre = repair.voted(centre, reads)
+        assert distance(centre, truth) <= 1
+
+
+def test_rounds_fill_what_the_scan_leaves(spark):
+    layout, _, _ = frames.PROFILES["v4-balanced"]
+    rng = np.random.default_rng(7)
+    strands, _ = frames.build(layout, frames.Screen(), 5, 0, [0] * 12, range(12), rng.integers(0, 256, (12, 40)).astype(np.uint8))
+    rows, turned = [], str.maketrans("ACGT", "TGCA")
+    for i in range(4):  # clean
+        rows.append((frames.sequence(strands[i]), b"?" * 313))
+    for i in range(4, 8):  # many marked substitutions
+        c, q = strands[i].copy(), np.full(313, 30, np.uint8)
+        for at in rng.choice(layout.frame_bytes, 12, replace=False):
+            place = layout.frame_at[4 * at]
+            c[place], q[place] = (c[place] + 2) % 4, 3
+        rows.append((frames.sequence(c), q.tobytes()))
+    for i in range(8, 12):  # many indels, but several reads, both ways round
+        for k in range(9):
+            s = list(frames.sequence(strands[i]))
+            for at in sorted(rng.choice(313, 9, replace=False).tolist(), reverse=True):
+                s[at : at + 1] = [] if rng.random() < 0.5 else [s[at], "ACGT"[int(rng.integers(0, 4))]]
+            text = "".join(s)
+            rows.append((text.translate(turned)[::-1] if k % 3 == 0 else text, None))
+    reads = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(rows)], "read bigint, seq string, qual binary")
+    scanned = codec.scan(reads.withColumn("file", F.lit(0).cast("bigint")))
+    found, log = repair.rounds(reads, scanned)
+    got = {(r["symbol"], r["round"]) for r in found.where("tag = 5").collect()}
+    assert {(i, "scan") for i in range(4)} | {(i, "soft") for i in range(4, 8)} <= got and len({s for s, _ in got}) >= 11
+    assert [r["round"] for r in log.collect()] == ["scan", "soft", "cluster"] and found.count() == len({s for s, _ in got})
+
+
+def test_stages_follow_each_other():
+    strands = np.random.default_rng(0).integers(0, 4, (30, 80)).astype(np.uint8)
+    quiet = channel.Channel(substitution=0, insertion=0, deletion=0, model="fixed", coverage=2)
+    r = channel.staged(strands, [quiet, quiet, quiet], 1, (0,))
+    assert len(r.codes) == 240 and all((c == strands[s]).all() for c, s in zip(r.codes, r.source, strict=True)) and r.counts["2.reads"] == 240
+    loud = channel.Channel(deletion=0.05, insertion=0.0, substitution=0.0, model="fixed", coverage=1)
+    a, b = (channel.staged(strands, [loud, channel.Channel(model="poisson", coverage=3, reverse=0.5, substitution=0, insertion=0, deletion=0)], 2, (1,)) for _ in range(2))
+    assert all((x == y).all() for x, y in zip(a.codes, b.codes, strict=True)) and a.reversed.any() and len({len(c) for c in a.codes}) > 2
