@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import alignment
+from ..kernels import alignment, frames
 
 EVENT = "kind string, site int, ref_letters string, read_letters string"
 
@@ -49,6 +50,30 @@ def blocks(found: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key, block.alias("block"), idx.alias("idx")).agg(F.count("*").alias("cnt"))
 
 
+def composition(data: Column, most: int = 1 << 22) -> Column:
+    """n_bases, n_gc, longest_run of the bases of each row's bytes (null: none), without writing the bases out."""
+    @F.arrow_udf("struct<n_bases:bigint,n_gc:bigint,longest_run:bigint>")
+    def measured(values: pa.Array) -> pa.Array:
+        parts: list[tuple] = []
+        values = values.fill_null(b"")
+        sizes = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(values):  # a bounded number of bytes at a time
+            base = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, base + most, side="right")))
+            own = values.slice(first, last - first)
+            offsets = np.concatenate([[0], sizes[first:last] - base])
+            start = int(np.frombuffer(own.buffers()[1], np.int32)[own.offset])
+            body = own.buffers()[2]
+            data = np.frombuffer(body, np.uint8)[start : start + int(offsets[-1])] if body is not None else np.zeros(0, np.uint8)
+            parts.append((4 * np.diff(offsets), *frames.composition(data, offsets)))
+            first = last
+        columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3)]
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["n_bases", "n_gc", "longest_run"])
+
+    return measured(data)
+
+
 def estimates(tallies: DataFrame, sites: DataFrame, by: list[str], z: float = 1.959963984540054) -> DataFrame:
     """by, block, n_events, n_sites, rate, low, high: events a site with their Wilson bounds."""
     from ..functions.statistics import wilson

@@ -16,8 +16,8 @@ from ..functions import sequences as S
 from ..functions.statistics import wilson
 from ..kernels import cauchy
 from ..kernels.gf256 import MUL
-from ..operators import archive, clustering, consensus, erasure, experiments, journal, ordered, planning, screening, security
-from .tables import table
+from ..operators import archive, clustering, consensus, erasure, experiments, journal, ordered, planning, screening, security, tally
+from .tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,11 +78,11 @@ def _bytes():
 
 
 def _encoded(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", "lang", S.from_bytes(_bytes()).alias("seq"))
+    return spread(_docs(spark, sf_dir).select("doc_id", "lang", "text")).select("doc_id", "lang", S.from_bytes(_bytes()).alias("seq"))
 
 
 def _cut_strands(spark, sf_dir):
-    strands = screening.strands(_docs(spark, sf_dir), _bytes(), NT, ["doc_id", "lang"])
+    strands = screening.strands(spread(_docs(spark, sf_dir).select("doc_id", "lang", "text")), _bytes(), NT, ["doc_id", "lang"])
     return strands.withColumn("seq", F.when(F.col("pos") % 101 == 100, F.concat(F.lit("X"), F.substring("seq", 2, 1 << 30))).otherwise(F.col("seq")))
 
 
@@ -91,10 +91,8 @@ def _cut_strands(spark, sf_dir):
 @query(f"""WITH e AS (SELECT lang, {_SEQ} AS seq FROM documents)
 SELECT lang, count(*) AS n_docs, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(sum({_GC}) AS BIGINT) AS n_gc, CAST(max({_RUN}) AS BIGINT) AS longest_run FROM e GROUP BY lang""")
 def strand_summary(spark, sf_dir):
-    seq = F.col("seq")
-    return _encoded(spark, sf_dir).groupBy("lang").agg(
-        F.count("*").alias("n_docs"), F.sum(F.length(seq)).cast("long").alias("n_bases"), F.sum(S.gc(seq)).cast("long").alias("n_gc"), F.max(S.longest_run(seq)).cast("long").alias("longest_run")
-    )
+    docs = spread(_docs(spark, sf_dir).select("lang", _bytes().alias("data"))).select("lang", tally.composition(F.col("data")).alias("c"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("c.n_bases").alias("n_bases"), F.sum("c.n_gc").alias("n_gc"), F.max("c.longest_run").alias("longest_run"))
 
 
 @query(f"SELECT doc_id, md5({_SEQ}) AS seq_md5, length({_SEQ}) AS n_bases FROM documents")
