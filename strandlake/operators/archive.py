@@ -112,7 +112,8 @@ def publishable(refs: DataFrame, verified: DataFrame, file_id: str) -> DataFrame
 
 
 def validate_chunks(table: DataFrame, start: int = 0) -> DataFrame:
-    """One row: chunks, chunks whose predecessor in the index is missing, and chunks that do not begin where it ends.
+    """One row: chunks, chunks whose predecessor in the index is missing, and chunks that do not begin where it ends
+    (none does whose predecessor is missing).
 
     Numbers begin at 0 and offsets at ``start``. Each chunk meets the one before it by an equi join on the number, so
     the check needs no order over the whole table. Repeated numbers count as breaks once for each pair that does not fit.
@@ -121,4 +122,4 @@ def validate_chunks(table: DataFrame, start: int = 0) -> DataFrame:
     rows = table.select("idx", "offset").join(before, "idx", "left")
     first = F.col("idx") == 0
     gap, end = ~first & F.col("_end").isNull(), F.when(first, F.lit(start)).otherwise(F.col("_end"))
-    return rows.agg(F.count_distinct("idx").alias("n_chunks"), F.count_if(gap).alias("n_gaps"), F.count_if(~gap & (F.col("offset") != end)).alias("n_breaks"))
+    return rows.agg(F.count_distinct("idx").alias("n_chunks"), F.count_if(gap).alias("n_gaps"), F.count_if(gap | (F.col("offset") != end)).alias("n_breaks"))

@@ -89,7 +89,7 @@ t AS (SELECT * FROM t1 WHERE idx % 97 <> 50)"""
 
 
 @query(f"""WITH {_CHUNK_ROWS}, p AS (SELECT *, lag(idx) OVER (ORDER BY idx) AS before, lag("offset" + stored) OVER (ORDER BY idx) AS ends FROM t)
-SELECT count(*) AS n_chunks, count(*) FILTER (before <> idx - 1) AS n_gaps, count(*) FILTER ((before = idx - 1 AND ends <> "offset") OR (idx = 0 AND "offset" <> 0)) AS n_breaks FROM p""")
+SELECT count(*) AS n_chunks, count(*) FILTER (before <> idx - 1) AS n_gaps, count(*) FILTER (before <> idx - 1 OR ends <> "offset" OR (idx = 0 AND "offset" <> 0)) AS n_breaks FROM p""")
 def chunk_table_check(spark, sf_dir):
     """A chunk table of the documents from which rows are missing and in which offsets are off."""
     rows = pools.in_address_order(_docs(spark, sf_dir).select("doc_id", F.octet_length(_bytes()).cast("long").alias("stored")), ["doc_id"]).withColumnRenamed("place", "idx")
