@@ -97,9 +97,9 @@ def _links(nodes: DataFrame) -> DataFrame:
     n = nodes.count()
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks(2))])
     rows = nodes.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    buckets = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), n)
+    buckets = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), 7 * n)  # as many as there are rows to read
     pairs = buckets.where("n = 2").select("a", "b").where(_far("a", "b") <= 2)
-    crowd = cut(rows.join(buckets.where("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct(), n)
+    crowd = cut(rows.join(buckets.where("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct(), 7 * n)
     near = crowd.select("fp", F.explode(_flips()).alias("mid"))
     stars = near.groupBy("mid").agg(F.collect_list("fp").alias("all"), F.min("fp").alias("a")).where(F.size("all") > 1)
     return pairs.union(stars.select("a", F.explode("all").alias("b")).where("a != b")).distinct()
