@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..kernels import screen as kernel
 
 
 @dataclass(frozen=True)
@@ -39,17 +43,34 @@ class Rules:
         return out
 
 
+#: Letters screened at once.
+MATRIX = 1 << 21
 ORDER = ["gc_content", "gc_window", "homopolymer", "tandem_repeat", "motif", "length", "invalid_base"]
 
 
 def screen(df: DataFrame, rules: Rules, seq: str = "seq") -> DataFrame:
-    """Adds ``violations``: bit i is set where rule ORDER[i] is violated."""
-    found = rules.columns(F.col(seq))
-    bits = [F.when(found[n], F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(ORDER) if n in found]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
-    return df.withColumn("violations", total)
+    """Adds ``violations``: bit i is set where rule ORDER[i] is violated; null for a null sequence.
+
+    Sequences of one length are screened together (``Rules.columns`` has the same rules as expressions).
+    """
+    @F.arrow_udf("int")
+    def bits(values: pa.Array) -> pa.Array:
+        plain = values.fill_null("")
+        if not pc.all(pc.equal(pc.binary_length(plain), pc.utf8_length(plain))).as_py():
+            plain = pa.array([s.encode("ascii", "replace").decode() for s in plain.to_pylist()], pa.string())
+        sizes = pc.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = np.frombuffer("".join(plain.to_pylist()).encode(), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(len(sizes), np.int32)
+        for length in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == length)
+            step = max(1, MATRIX // max(1, length))
+            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                found = kernel.violations(text[starts[part][:, None] + np.arange(length)], rules)
+                out[part] = sum(found[n].astype(np.int32) << i for i, n in enumerate(ORDER) if n in found)
+        return pa.array(out, pa.int32(), mask=values.is_null().to_numpy(zero_copy_only=False))
+
+    return df.withColumn("violations", bits(F.col(seq)))
 
 
 def summary(screened: DataFrame, by: list[str]) -> DataFrame:

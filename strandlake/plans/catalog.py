@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import registry
 from ..functions import sequences as S
 from ..functions.statistics import wilson
 from ..kernels import cauchy
@@ -103,9 +104,11 @@ def dna_encode(spark, sf_dir):
 @query("SELECT doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(text, '') = '' OR doc_id % 7 <> 0 AS same FROM documents")
 def dna_decode(spark, sf_dir):
     """Texts as bases and back; in every seventh the first base was exchanged meanwhile."""
-    seq = S.from_bytes(_bytes())
+    back = F.arrow_udf(registry.dna_decode, "binary")
+    seq = F.col("seq")
     spoilt = F.when(F.col("doc_id") % 7 == 0, F.concat(F.translate(F.substring(seq, 1, 1), "ACGT", "CGTA"), F.substring(seq, 2, 1 << 30))).otherwise(seq)
-    return _docs(spark, sf_dir).select("doc_id", F.md5(S.to_bytes(seq)).alias("text_md5"), (S.to_bytes(spoilt) == _bytes()).alias("same"))
+    rows = spread(_docs(spark, sf_dir).select("doc_id", _bytes().alias("data"))).withColumn("seq", S.from_bytes(F.col("data")))
+    return rows.select("doc_id", F.md5(back(seq)).alias("text_md5"), (back(spoilt) == F.col("data")).alias("same"))
 
 
 @query(f"SELECT doc_id, md5(reverse(translate({_SEQ}, 'ACGTN', 'TGCAN'))) AS rc_md5 FROM documents")

@@ -264,3 +264,17 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "r.fa").write_text(">x\nACGTACGTAA\n>y\nAAAAAAAAAA\n")
     assert call("validate", str(tmp_path / "r.fa"))[1]["result"]["n_strands"] == 2
     assert call("verify", str(tmp_path / "nowhere"))[0] == 70 and np.array(call("errors")[1]["result"]["WRONG_KEY"]["exit_code"]) == 4
+
+
+def test_screens_by_kernel_and_by_expressions_agree(spark):
+    from strandlake.operators import screening
+
+    rng = random.Random(9)
+    seqs = ["".join(rng.choice(rng.choice(["ACGT", "AC", "ACGTN", "GATC"])) for _ in range(rng.choice([0, 1, 2, 3, 30, 31, 60]))) for _ in range(400)] + ["ACGé", "AXA", None, "GAATTC" * 4]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    for rules in (screening.Rules(), screening.Rules(gc=None, homopolymer=None), screening.Rules(window=(20, 30, 70), tandem=6, motifs=("GAATTC", "ACCA"), length=(2, 40)), screening.Rules(homopolymer=0, tandem=3)):
+        found = rules.columns(F.col("seq"))
+        want = sum((F.when(found[n], F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(screening.ORDER) if n in found), F.lit(0))
+        rows = screening.screen(df, rules).withColumn("want", want).collect()
+        assert [(r["seq"], r["violations"]) for r in rows if r["seq"] is not None] == [(r["seq"], r["want"]) for r in rows if r["seq"] is not None]
+        assert [r["violations"] for r in rows if r["seq"] is None] == [None]
