@@ -36,14 +36,15 @@ def _order(id_column: str) -> Column:
     return F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"))
 
 
-def _levels(df: DataFrame, text: str, prefix: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their length and prefix hash, keys that more than one row has)."""
+def _levels(df: DataFrame, text: str, prefix: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with their length and prefix hash, keys that more than one row has, number of rows)."""
+    n = df.count()
     rows = df.withColumn("_norm", normalised(F.col(text)))
     rows = rows.withColumn("_len", F.octet_length("_norm")).withColumn("_pre", F.xxhash64(F.substring("_norm", 1, prefix)))
     keys = rows.select("_len", "_pre")
-    lengths = cut(keys.groupBy("_len").count().where("count > 1").select("_len"))
-    pairs = cut(having(keys, lengths, ["_len"]).groupBy("_len", "_pre").count().where("count > 1").select("_len", "_pre"))
-    return rows, pairs
+    lengths = cut(keys.groupBy("_len").count().where("count > 1").select("_len"), n)
+    pairs = cut(having(keys, lengths, ["_len"]).groupBy("_len", "_pre").count().where("count > 1").select("_len", "_pre"), n)
+    return rows, pairs, n
 
 
 def _hashed(rows: DataFrame, pairs: DataFrame, everything: bool) -> DataFrame:
@@ -62,7 +63,7 @@ def decisions(df: DataFrame, id_column: str = "doc_id", text: str = "text", pref
     full_hash is null for rows that an earlier level proved unique, unless
     ``digest_all`` asks for everyone's.
     """
-    rows, pairs = _levels(df.select(id_column, text), text, prefix)
+    rows, pairs, n = _levels(df.select(id_column, text), text, prefix)
     narrow = _hashed(rows, pairs, digest_all).select(
         F.col(id_column), "_len", "_pre", "_full", "_shared", F.monotonically_increasing_id().alias("_row")
     )
@@ -73,7 +74,7 @@ def decisions(df: DataFrame, id_column: str = "doc_id", text: str = "text", pref
         .agg(F.min(F.struct(_order(id_column).alias("key"), F.col("_row").alias("row"))).alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1")
     )
-    joined = attach(narrow, cut(groups), ["_len", "_pre", "_full"])
+    joined = attach(narrow, cut(groups, n), ["_len", "_pre", "_full"])
     return joined.select(
         F.col(id_column),
         F.when(F.col("_first").isNull(), F.col(id_column)).otherwise(F.col("_first.key.id")).alias("keep_id"),
@@ -86,13 +87,14 @@ def decisions(df: DataFrame, id_column: str = "doc_id", text: str = "text", pref
 def drop_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
     """The rows of ``df`` without exact copies, all columns as they were (whatever their names)."""
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(text).alias("_text"))
-    rows, pairs = _levels(held, "_text", prefix)
+    rows, pairs, n = _levels(held, "_text", prefix)
     rows = _hashed(rows, pairs, False)
     counts = rows.where("_shared").groupBy("_len", "_pre", "_full", _order("_id").alias("_key")).agg(F.count("*").alias("_c"))
     groups = cut(
         counts.groupBy("_len", "_pre", "_full")
         .agg(F.min(F.struct("_key", "_c")).alias("_first"), F.sum("_c").alias("_n"))
-        .where("_n > 1")
+        .where("_n > 1"),
+        n,
     )
     left = attach(rows, groups, ["_len", "_pre", "_full"]).where(F.col("_first").isNull() | F.col("_id").eqNullSafe(F.col("_first._key.id")))
     if groups.where("_first._c > 1").isEmpty():
