@@ -6,7 +6,9 @@ the last return the columns of ``documents``.
 
 1. quality_rules drops what the base rule or the learned decision list rejects.
 2. exact_dedup keeps the first of equal texts.
-3. near_dedup keeps one document of each group with a five-word similarity of 0.8.
+3. near_dedup keeps one document of each group that SimHash links (fingerprints of
+   three-word shingles within two bits, as in op5_simhash) and links of texts with a
+   five-word similarity of 0.8 connect.
 4. pii masks personal data in the texts (n_chars follows the new text).
 5. packing returns the place of every piece in the packed sequences.
 
@@ -47,7 +49,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return near_copies.one_of_each(docs, radius=None)
+    return near_copies.one_of_each(docs, radius=None, simhash_words=3)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

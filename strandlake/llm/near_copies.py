@@ -10,7 +10,11 @@
    similarity of their whole shingle sets;
 4. in larger buckets every pair of members that the links so far leave in
    different groups is compared as well, in blocks of ``BLOCK`` members;
-5. of each connected group the document with the smallest id stays.
+5. with ``simhash_words``, SimHash fingerprints of shingles of so many words link as
+   in ``simhash``: within two bits, found by its covering tables, whatever the
+   five-word similarity is;
+6. of each connected group, over the links of both kinds, the document with the
+   smallest id stays.
 
 The work of step 4 grows with the square of the members of a bucket only where
 they stay in different groups; members of one group are not compared again.
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, having, small
 from .components import components, written
-from .simhash import SEED, fingerprint, signed
+from .simhash import SEED, edges, fingerprint, signed
 
 #: RADIUS: most bits by which word fingerprints of a pair differ; the pipeline gives None, where only the similarity decides.
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 4
@@ -78,18 +82,19 @@ def _sketch(sets: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys.view(np.int64), least.astype(np.uint8).tobytes()
 
 
-def _nodes(docs: DataFrame, radius: int | None) -> DataFrame:
-    """id, doc, fp, bands, mins, size of every row of ``docs`` (id, doc, text); fp is 0 without a radius."""
+def _nodes(docs: DataFrame, radius: int | None, simhash_words: int | None) -> DataFrame:
+    """id, doc, fp, sim, bands, mins, size of every row of ``docs`` (id, doc, text); fp is 0 without a radius, sim without ``simhash_words``."""
     def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for t in b.column(2).to_pylist():
                 s = shingles(t)
-                for c, v in zip(cols, (0 if radius is None else signed(fingerprint(t, 1)), *_sketch(s), len(s)), strict=True):
+                both = (0 if w is None else signed(fingerprint(t, w)) for w in (None if radius is None else 1, simhash_words))
+                for c, v in zip(cols, (*both, *_sketch(s), len(s)), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32()), strict=True))], names=["id", "doc", "fp", "bands", "mins", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32()), strict=True))], names=["id", "doc", "fp", "sim", "bands", "mins", "size"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, doc binary, fp bigint, bands array<bigint>, mins binary, size int")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, doc binary, fp bigint, sim bigint, bands array<bigint>, mins binary, size int")
 
 
 def _pairs(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -227,12 +232,20 @@ def links(docs: DataFrame, nodes: DataFrame, radius: int | None = RADIUS, simila
     more = _resolve(crowd, found, docs, nodes, radius, similar)
     return found if more is None else found.union(more).distinct()
 
-def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int | None = RADIUS, similar: float = SIMILARITY) -> DataFrame:
-    """The rows of ``df`` with one document of each group of near copies, all columns as they were."""
+def one_of_each(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int | None = RADIUS, similar: float = SIMILARITY, simhash_words: int | None = None
+) -> DataFrame:
+    """The rows of ``df`` with one document of each group of near copies, all columns as they were.
+
+    ``simhash_words``: what SimHash fingerprints of shingles of so many words link is a near copy as well; None: only similar texts are.
+    """
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), _key(id_column, text).alias("_doc"))
     docs = df.select(F.col(id_column).alias("id"), _key(id_column, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    nodes = cut(_nodes(docs, radius).dropDuplicates(["doc"]).withColumn("node", F.monotonically_increasing_id()), BANDS * df.count())
-    found = cut(links(docs.select("doc", "text"), nodes, radius, similar))
+    nodes = cut(_nodes(docs, radius, simhash_words).dropDuplicates(["doc"]).withColumn("node", F.monotonically_increasing_id()), BANDS * df.count())
+    found = links(docs.select("doc", "text"), nodes, radius, similar)
+    if simhash_words is not None:
+        found = found.union(edges(nodes.select("node", F.col("sim").alias("fp")))).distinct()
+    found = cut(found)
     if found.isEmpty():
         return df
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("node"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import attach, cut
+from ._shared import attach, cut, small
 from .components import components
 
 BITS, SEED = 64, 42
@@ -105,6 +105,17 @@ def _links(nodes: DataFrame) -> DataFrame:
     return pairs.union(stars.select("a", F.explode("all").alias("b")).where("a != b")).distinct()
 
 
+def edges(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect exactly the nodes whose fingerprints link; ``nodes``: node, fp (already cut), one row a node."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")), nodes.count())
+    copies = first.where("n > 1").select("fp", "a")
+    equal = nodes.join(F.broadcast(copies) if small(copies) else copies, "fp").where("a != node").select("a", F.col("node").alias("b"))
+    near = cut(_links(first.select("fp")))
+    for name in "ab":
+        near = near.join(first.select(F.col("fp").alias(name), F.col("a").alias(f"node_{name}")), name)
+    return equal.union(near.select(F.least("node_a", "node_b"), F.greatest("node_a", "node_b")))
+
+
 def classes(df: DataFrame, words: int = 3, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, fp (bigint), component_id, n_copies (rows with the same fingerprint) of every row."""
     rows = cut(fingerprints(df, words, id_column, text))

@@ -166,6 +166,36 @@ def test_stages_do_what_they_promise(spark, planted, tmp_path):
         assert none.count() == 0 and (name == "packing" or none.columns == columns)
 
 
+def test_near_dedup_links_as_simhash_does(spark):
+    """Pairs within two bits of three-word fingerprints whose five-word similarity is below 0.8, alone and on the way to a similar text."""
+    rng = random.Random(51)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, chains = [], []
+    while len(chains) < 4:
+        base = text(90)
+        copy = list(base)
+        for at in rng.sample(range(10, 80, 5), 2):
+            copy[at] = f"edit{at}"
+        if (simhash.fingerprint(" ".join(base), 3) ^ simhash.fingerprint(" ".join(copy), 3)).bit_count() > 2:
+            continue
+        third = copy[:3] + ["other"] + copy[4:]  # similar to the copy, in few cases to the base
+        chains.append(len(rows))
+        rows += [" ".join(base), " ".join(copy), " ".join(third)]
+    rows += [" ".join(text(90)) for _ in range(30)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in rows]
+    fps = [simhash.fingerprint(t, 3) for t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert all(not alike(c, c + 1) and alike(c + 1, c + 2) and not alike(c, c + 2) for c in chains)
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(i, j) or (fps[i] ^ fps[j]).bit_count() <= 2:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, SF).collect()}
+    assert kept == set(up) and len(kept) == len(rows) - 2 * len(chains)
+
+
 @pytest.fixture(scope="module")
 def long(spark):
     rng = random.Random(41)
