@@ -181,9 +181,9 @@ def _found(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc binary, contexts array<struct<anchor:bigint,ctx:bigint,at:int,lo:int,hi:int>>, grams array<bigint>")
 
 
-def _strings(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """core, doc, first, left, right (bytes beside the core) of the classes of ``wanted`` contexts (doc, anchor, at, lo, hi)."""
-    lists = cut(wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("parts")))
+def _strings(docs: DataFrame, wanted: DataFrame, width: int, n: int) -> DataFrame:
+    """core, doc, first, left, right (bytes beside the core) of the classes of at most ``n`` ``wanted`` contexts (doc, anchor, at, lo, hi)."""
+    lists = cut(wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "lo", "hi")).alias("parts")), n)
     schema = pa.schema([("core", pa.int64()), ("doc", pa.binary()), ("first", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
     def run(batches):
@@ -244,8 +244,8 @@ def _by_transform(parts: DataFrame, width: int, n: int) -> DataFrame:
     return near.mapInArrow(run, "doc binary, start int, end int")
 
 
-def _by_rows(parts: DataFrame, width: int) -> DataFrame:
-    """The same for crowded cores: one row a window, counted by content."""
+def _by_rows(parts: DataFrame, width: int, n: int) -> DataFrame:
+    """The same for ``n`` strings of crowded cores: one row a window, counted by content."""
     def run(batches):
         from xxhash import xxh128_digest
 
@@ -259,31 +259,35 @@ def _by_rows(parts: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["window", "doc", "start"])
 
     rows = parts.select("core", "doc", "first", "left", "right").mapInArrow(run, "window binary, doc binary, start int")
-    twice = cut(rows.groupBy("window").count().where("count > 1").select("window"))
+    twice = cut(rows.groupBy("window").count().where("count > 1").select("window"), n * STEP // 2)
     return matching(rows, twice, ["window"]).select("doc", "start", (F.col("start") + width).alias("end"))
 
 
-def spans(docs: DataFrame, found: DataFrame, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
-    """doc, start, end (bytes) of what is repeated, unmerged; ``docs``: doc, text (not null); ``found``: as _found gives."""
+def spans(docs: DataFrame, found: DataFrame, n: int, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
+    """doc, start, end (bytes) of what is repeated, unmerged; ``docs``: doc, text (not null); ``found``: as _found gives, with ``n`` contexts.
+
+    Narrow tables are written in files by their number of rows, and what only filters one of them is not written again:
+    without native Hadoop libraries a JVM starts two processes for the permissions of every local file."""
     rows = found.select("doc", F.explode("contexts").alias("c")).select("doc", "c.*")
-    kinds = cut(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("n")))
-    twice = cut(kinds.where("n > 1").select("anchor", "ctx"))
+    kinds = cut(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("n")), n)
+    twice = kinds.where("n > 1").select("anchor", "ctx")
     whole = matching(rows, twice, ["anchor", "ctx"]).select("doc", F.col("lo").alias("start"), (F.col("hi") + width).alias("end"))
-    shared = cut(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
+    shared = cut(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), n // 2)
     one = matching(rows, shared, ["anchor"]).groupBy("anchor", "ctx").agg(F.min(F.struct("doc", "at", "lo", "hi")).alias("one"))
-    strings = written(_strings(docs, one.select("one.*", "anchor"), width))
-    cores = cut(strings.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", "k", (F.col("k") > crowd).alias("crowded")))
-    n = cores.where("NOT crowded").agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    few = matching(strings, cut(cores.where("NOT crowded").select("core")), ["core"])
-    out = whole.unionByName(_by_transform(few, width, n))
-    crowded = cut(cores.where("crowded").select("core"))
-    return out if crowded.isEmpty() else out.unionByName(_by_rows(matching(strings, crowded, ["core"]), width))
-
-
-def shared_grams(found: DataFrame) -> DataFrame:
-    """doc, n_shared of documents with grams that another document has too."""
+    strings = written(_strings(docs, one.select("one.*", "anchor"), width, n))
+    cores = cut(strings.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core", "k", (F.col("k") > crowd).alias("crowded")), strings.count() // 2)
+    sums = [F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)) for c in (~F.col("crowded"), F.col("crowded"))]
+    n_few, n_crowded = cores.agg(*sums).first()
+    out = whole.unionByName(_by_transform(matching(strings, cores.where("NOT crowded").select("core"), ["core"]), width, n_few))
+    if not n_crowded:
+        return out
+    return out.unionByName(_by_rows(matching(strings, cores.where("crowded").select("core"), ["core"]), width, n_crowded))
+
+
+def shared_grams(found: DataFrame, n: int) -> DataFrame:
+    """doc, n_shared of documents with grams that another document has too; ``found`` has ``n`` grams."""
     rows = found.where(F.size("grams") > 0).select("doc", "grams").dropDuplicates(["doc"]).select("doc", F.explode("grams").alias("gram"))
-    twice = cut(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    twice = cut(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), n // 2)
     return matching(rows, twice, ["gram"]).groupBy("doc").agg(F.count("*").alias("n_shared"))
 
 
@@ -310,7 +314,8 @@ def merged(found: DataFrame) -> DataFrame:
 def _apply(df, width, crowd, id_column, text, last, of, last_type) -> DataFrame:
     docs = df.select(F.col(f"`{id_column}`").alias("id"), _doc(id_column, text).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     found = written(_found(docs, width))
-    lists = cut(merged(spans(docs, found, width, crowd).distinct()).join(shared_grams(found), "doc", "full"))
+    n, n_grams = found.agg(*[F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in ("contexts", "grams")]).first()
+    lists = cut(merged(spans(docs, found, n, width, crowd).distinct()).join(shared_grams(found, n_grams), "doc", "full"), n + n_grams)
     names = [id_column, "n_bytes", "n_removed", "n_spans", last.split()[0], "n_shared"]
 
     def run(batches):

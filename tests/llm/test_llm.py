@@ -212,6 +212,28 @@ def test_repeats_against_brute_force(spark, docs, empty):
     assert repeats.digests(empty).count() == 0
 
 
+def test_repeats_write_few_files(spark, docs):
+    _shared.prepare(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = lambda: {x.getPath().toString(): fs.getContentSummary(x.getPath()).getFileCount() for x in fs.listStatus(path) if x.getPath().getName().startswith("rdd-")}
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    out = []
+    for crowd in (2_000, 2):
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            before = tables()
+            out.append(sorted(map(str, repeats.digests(docs, crowd=crowd).collect())))
+            made = {k: n for k, n in tables().items() if k not in before}
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        assert 0 < len(made) <= 7 and max(made.values()) <= 2, made  # under 100,000 rows each: a file, and how it is partitioned
+    assert out[0] == out[1]
+
+
 def test_sieve_loses_no_key(spark):
     df = spark.range(5000).select((F.col("id") * 7919).alias("k"), F.lit("x").alias("_bits"))
     keys = spark.range(0, 5000, 13).select((F.col("id") * 7919).alias("k"))
