@@ -106,3 +106,29 @@ def test_failure_bound_and_slots():
     assert planning.failure_bound(80, 16, loss) <= 1e-6 < planning.failure_bound(80, 16, loss + 0.01)
     assert planning.superblock_slots(100, 2) == [25, 75]
     assert planning.symbol_positions(2, 1, 2, 0, True)[:2] == [(0, 0), (1, 0)]
+
+
+def test_word_hashes_and_least(monkeypatch):
+    import hashlib
+
+    from strandlake.kernels import sketches
+
+    plain = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
+    for k in (3, 4, 12, 55, 60):
+        words = np.random.default_rng(k).integers(0, 128, (300, k), dtype=np.uint8)
+        assert sketches.hash60(words).tolist() == [plain(w.tobytes().decode()) for w in words]
+    turn = str.maketrans("ACGT", "TGCA")
+    texts = ["ACGTTGCAACGGT" * 5, None, "", "ACG", "ACGTAäöGTTACGA", "GATTACA", "TGTAATC"]
+    for both in (False, True):
+        want = []
+        for t in texts:
+            slots = [sketches.NONE] * 4
+            for i in range(len(t or "") - 4):
+                word = t[i : i + 5]
+                own = min(word, word.translate(turn)[::-1]) if both else word
+                h = plain(own)
+                slots[h % 4] = min(slots[h % 4], 2 * h + (own != word))
+            want.append(slots)
+        for letters in (7, 1 << 18):  # pieces of a long text share what a word needs
+            monkeypatch.setattr(sketches, "LETTERS", letters)
+            assert sketches.least(texts, 5, 4, both).tolist() == want
