@@ -132,3 +132,20 @@ def test_word_hashes_and_least(monkeypatch):
         for letters in (7, 1 << 18):  # pieces of a long text share what a word needs
             monkeypatch.setattr(sketches, "LETTERS", letters)
             assert sketches.least(texts, 5, 4, both).tolist() == want
+
+
+def test_distances_of_many_pairs(monkeypatch):
+    from strandlake.kernels import alignment, distance
+
+    rng = np.random.default_rng(5)
+    left, right = [], []
+    for i in range(120):
+        a = "".join(rng.choice(list("ab日"), rng.choice([0, 1, 5, 63, 64, 65, 130])))
+        b = "".join(rng.choice(list("ab日"), rng.choice([0, 1, 64, 100]))) if i % 2 else a[:3] + a[4:20] + "b" + a[21:]
+        left.append(a), right.append(b)
+    exact = np.array([alignment.align(a, b)[0] for a, b in zip(left, right, strict=True)])
+    for pairs, masks in ((1024, 1 << 24), (7, 1 << 12)):
+        monkeypatch.setattr(distance, "PAIRS", pairs), monkeypatch.setattr(distance, "MASKS", masks)
+        for share in (0.0, 0.3, 1.0):
+            most = np.array([int(share * max(len(a), len(b))) for a, b in zip(left, right, strict=True)])
+            assert distance.within(left, right, most).tolist() == np.where(exact <= most, exact, -1).tolist()
