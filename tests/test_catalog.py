@@ -45,3 +45,8 @@ def test_channel_reads_do_not_depend_on_partitions(spark):
         assert sorted(map(tuple, catalog.channel_reads(spark, SF).collect())) == a
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_longest_runs_without_letters(spark):
+    plan = catalog.homopolymer_runs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "replace" not in plan
