@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..kernels import frames
 from ..kernels import screen as kernel
 
 
@@ -80,8 +81,38 @@ def summary(screened: DataFrame, by: list[str]) -> DataFrame:
 
 
 def strands(df: DataFrame, data: Column, nt: int, keys: list[str]) -> DataFrame:
-    """One row per strand of ``nt`` letters of the encoded bytes: keys, pos, seq."""
-    return df.select(*keys, F.posexplode(S.pieces(S.from_bytes(data), nt)).alias("pos", "seq"))
+    """One row per strand of ``nt`` letters of the encoded bytes: keys, pos, seq. Row by row, a bounded number of letters at a time."""
+    n = len(keys)
+    most = -(-MATRIX // (4 * nt)) * nt  # bytes at a time; whole strands, whatever nt is
+
+    def built(b: pa.RecordBatch, parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        sizes = 4 * np.array([len(c) for *_, c in parts], np.int64)
+        counts = -(-sizes // nt)
+        each = np.repeat(np.arange(len(parts)), counts)
+        number = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
+        ends = (np.cumsum(sizes) - sizes)[each] + np.minimum((number + 1) * nt, sizes[each])
+        letters = frames.LETTERS[np.frombuffer(b"".join(c for *_, c in parts), np.uint8)]
+        seq = pa.StringArray.from_buffers(len(each), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(letters.tobytes()))
+        rows, first = (np.array([p[i] for p in parts])[each] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(rows)) for i in range(n)), pa.array(first // nt + number, pa.int32()), seq], names=[*keys, "pos", "seq"])
+
+    def run(batches):
+        for b in batches:
+            held: list[tuple[int, int, bytes]] = []
+            size = 0
+            for row, value in enumerate(b.column(n)):
+                content = value.as_py() or b""
+                for at in range(0, len(content), most):
+                    held.append((row, 4 * at, content[at : at + most]))
+                    size += len(held[-1][2])
+                    if size >= most:
+                        yield built(b, held)
+                        held, size = [], 0
+            if held:
+                yield built(b, held)
+
+    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, data.alias("_data")).mapInArrow(run, f"{types}, pos int, seq string")
 
 
 def filtered(reads: DataFrame, shortest: int, longest: int, quality: float | None = None, seq: str = "seq") -> DataFrame:

@@ -167,3 +167,16 @@ def test_reads_of_both_orientations_cluster(spark):
     edges = clustering.verified(pairs, reads, "id", "seq")
     found = {r["node"]: (r["root"], r["flipped"]) for r in clustering.oriented_components(edges).collect()}
     assert found == {i: (i // 4 * 4, bool(i % 2)) for i in range(16)}
+
+
+def test_strands_in_bounded_batches(spark, monkeypatch):
+    texts = [(1, "abc" * 41), (2, ""), (3, None), (4, "x" * 700), (5, "ä日 \x00"), (6, "q" * 30)]
+    df = spark.createDataFrame(texts, "id int, text string").coalesce(1)
+    data = F.encode("text", "UTF-8")
+    for nt, letters in ((120, 1 << 21), (120, 500), (7, 100)):
+        monkeypatch.setattr(screening, "MATRIX", letters)
+        cut = screening.strands(df, data, nt, ["id"])
+        assert "Generate" not in cut._jdf.queryExecution().executedPlan().toString()
+        want = {(r["id"], i, r["seq"][i * nt : (i + 1) * nt]) for r in df.select("id", S.from_bytes(data).alias("seq")).where("seq IS NOT NULL").collect() for i in range(-(-len(r["seq"]) // nt))}
+        got = [tuple(r) for r in cut.collect()]
+        assert len(got) == len(want) and set(got) == want
