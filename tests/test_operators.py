@@ -180,3 +180,14 @@ def test_strands_in_bounded_batches(spark, monkeypatch):
         want = {(r["id"], i, r["seq"][i * nt : (i + 1) * nt]) for r in df.select("id", S.from_bytes(data).alias("seq")).where("seq IS NOT NULL").collect() for i in range(-(-len(r["seq"]) // nt))}
         got = [tuple(r) for r in cut.collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_snap_meets_no_pairs(spark):
+    """Of keys that share a mask only the extremes meet a pending key, however many there are."""
+    lack = spark.createDataFrame([(f"00{i:02X}",) for i in range(200)] + [("AA00",), ("AB01",)], "key string")
+    pend = spark.createDataFrame([(i, f"00{i:02X}") for i in range(190, 256)] + [(300, "AAFF"), (301, "AB00"), (302, "FFFF"), (303, None)], "id int, key string")
+    out = consensus.snap(pend, lack, 2)
+    got = {r["id"]: r["snapped"] for r in out.collect()}
+    assert got == {i: f"00{i:02X}" if i < 200 else None for i in range(190, 256)} | {300: "AA00", 301: None, 302: None, 303: None}
+    tree = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(low" in tree and "max(high" in tree
