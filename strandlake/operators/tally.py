@@ -26,14 +26,15 @@ def aligned(pairs: DataFrame, key: list[str], ref: str, read: str, band: int | N
     def run(batches):
         for b in batches:
             out: list[list] = [[], [], []]
-            for x, y in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
-                found = alignment.align(x or "", y or "", band)
+            refs, reads = ([t or "" for t in b.column(i).to_pylist()] for i in (n, n + 1))
+            all_found = [alignment.align(x, y) for x, y in zip(refs, reads, strict=True)] if band is None else alignment.align_many(refs, reads, band)
+            for x, y, found in zip(refs, reads, all_found, strict=True):
                 if found is None:
                     row = (None, None, None)
                 else:
-                    runs = (alignment.leftmost if shift == "left" else alignment.rightmost)(x or "", y or "", found[1])
+                    runs = (alignment.leftmost if shift == "left" else alignment.rightmost)(x, y, found[1])
                     names = ("kind", "site", "ref_letters", "read_letters")
-                    row = (found[0], alignment.cigar(runs), [dict(zip(names, e, strict=True)) for e in alignment.events(x or "", y or "", runs)])
+                    row = (found[0], alignment.cigar(runs), [dict(zip(names, e, strict=True)) for e in alignment.events(x, y, runs)])
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], kind)], names=[*key, "distance", "cigar", "events"])

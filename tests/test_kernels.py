@@ -149,3 +149,19 @@ def test_distances_of_many_pairs(monkeypatch):
         for share in (0.0, 0.3, 1.0):
             most = np.array([int(share * max(len(a), len(b))) for a, b in zip(left, right, strict=True)])
             assert distance.within(left, right, most).tolist() == np.where(exact <= most, exact, -1).tolist()
+
+
+def test_alignments_of_many_pairs(monkeypatch):
+    from strandlake.kernels import alignment
+
+    rng = np.random.default_rng(9)
+    refs, reads = [], []
+    for _ in range(150):
+        a = "".join(rng.choice(list("ab日"), rng.choice([0, 1, 2, 9, 40, 70])))
+        cut = int(rng.integers(0, len(a) + 1))
+        refs.append(a), reads.append(a[:cut] + "".join(rng.choice(list("ab"), rng.integers(0, 4))) + a[cut + int(rng.integers(0, 5)) :])
+    for band in (0, 3, 8):
+        for pairs, steps in ((512, 1 << 25), (7, 1 << 10)):
+            monkeypatch.setattr(alignment, "PAIRS", pairs), monkeypatch.setattr(alignment, "STEPS", steps)
+            assert alignment.align_many(refs, reads, band) == [alignment.align(a, b, band) for a, b in zip(refs, reads, strict=True)]
+    assert alignment.align_many([], [], 8) == []
